@@ -68,3 +68,9 @@ def worker_cache(name: str) -> dict:
 
     home = sys.modules.setdefault("_declgraph_worker_cache", types.ModuleType("_declgraph_worker_cache"))
     return home.__dict__.setdefault(name, {})
+
+
+def smallest(rows: DataFrame, n: int) -> list:
+    """At most n rows of rows(h, ...) with the smallest h: found on h alone, so that little else reaches the driver."""
+    last = rows.select("h").orderBy("h").limit(n).agg({"h": "max"}).first()[0]
+    return [] if last is None else rows.where(rows["h"] <= last).orderBy(*rows.columns).limit(n).collect()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, pick, table
+from declgraph.llm.common import cut, pick, smallest, table
 
 SAMPLE_DOCS = 4000  # labelled rows that the text model is trained on, and the characters of each
 SAMPLE_CHARS = 2000
@@ -45,7 +45,7 @@ def train_on(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """The model of at most SAMPLE_DOCS labelled rows of documents(doc_id, text, lang), those of smallest id hash."""
     rows = pick(documents, "doc_id", "text", "lang").where("lang is not null and text is not null")
     short = rows.select(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return train([(r["lang"], r["text"]) for r in short.orderBy("h", "lang", "text").limit(SAMPLE_DOCS).collect()])
+    return train([(r["lang"], r["text"]) for r in smallest(short, SAMPLE_DOCS)])
 
 
 def _likelihoods(model, markup: bool):

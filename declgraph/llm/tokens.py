@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import new_path, pick, table, worker_cache
+from declgraph.llm.common import new_path, pick, smallest, table, worker_cache
 
 END_ID = 2
 SAMPLE_DOCS = 1000  # documents that the dictionary is trained on, and the characters of each
@@ -41,6 +41,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
         self.words: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) > CACHED_WORDS:
@@ -54,8 +56,17 @@ class Encoder:
                 plain.update(tails[word])
             else:
                 plain.add(word)
-        plain = [w for w in plain if w not in self.words]
-        for word, found in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
+        todo = [(w, w.decode()) for w in plain if w not in self.words]
+        # Words of letters alone are one piece each, whose last id closes it: one call for all of them.
+        letters = [(w, t) for w, t in todo if t.isalpha()]
+        ids = np.asarray(self.tokenizer.encode(" ".join(t for _, t in letters), add_special_tokens=False).ids, "<u4") if letters else np.empty(0, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(letters) and (not len(ends) or ends[-1] == len(ids)):
+            data, at = ids.tobytes(), (4 * ends).tolist()
+            for (word, _), a, b in zip(letters, [0, *at], at, strict=False):
+                self.words[word] = data[a:b]
+            todo = [(w, t) for w, t in todo if not t.isalpha()]
+        for (word, _), found in zip(todo, self.tokenizer.encode_batch_fast([t for _, t in todo], add_special_tokens=False), strict=True):
             self.words[word] = np.asarray(found.ids, "<u4").tobytes()
         for word, (core, tail) in tails.items():
             self.words[word] = self.words[core] + self.words[tail]
@@ -180,7 +191,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: bytes, end_id: int = E
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    sample = smallest(rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")), SAMPLE_DOCS)
     dictionary = train(Encoder(tokenizer_json).encode([r["text"] for r in sample]))
     dict_sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(dict_sha, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dict")
