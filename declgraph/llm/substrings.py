@@ -82,9 +82,16 @@ def _first_local(w: np.ndarray) -> np.ndarray:
     """For each window the first start of its word sequence in the document."""
     if not len(w):
         return np.empty(0, np.int64)
-    order = np.lexsort((w["b"], w["a"]))  # stable: equal windows stay in order of start
-    s = w[order]
-    new = np.r_[True, s[1:] != s[:-1]]
+    order = np.argsort(w["a"], kind="stable")  # equal windows stay in order of start
+    a = w["a"][order]
+    new = np.r_[True, a[1:] != a[:-1]]
+    if new.all():
+        return np.arange(len(w))
+    b = w["b"][order]
+    if (b[1:] != b[:-1])[~new[1:]].any():  # one hash, two windows: both hashes count
+        order = np.lexsort((w["b"], w["a"]))
+        s = w[order]
+        new = np.r_[True, (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])]
     first = np.empty(len(w), np.int64)
     first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     return first
@@ -256,7 +263,8 @@ class FingerprintIndex:
         concerned = cut(classes.join(by_class, F.col("wa") == F.col("class")).select("place", "shared"), "concerned")
         texts = cut(self.texts.select("place", "text").join(concerned, "place"), "texts")
 
-        windows = texts.mapInArrow(_governed(window, gram), "a long, b long, place long, start int")
+        # Written first: the range exchange reads its input twice, and would hash the texts twice.
+        windows = cut(texts.mapInArrow(_governed(window, gram), "a long, b long, place long, start int"), "windows")
         ordered = windows.repartitionByRange("a", "place").sortWithinPartitions("a", "b", "place")
         later = cut(ordered.mapInArrow(_later, "a long, b long, place long, start int, edge boolean"), "later")
         edge = later.where("edge")  # a few rows for each partition of the exchange
