@@ -59,7 +59,7 @@ class Encoder:
         todo = [(w, w.decode()) for w in plain if w not in self.words]
         # Words of letters alone are one piece each, whose last id closes it: one call for all of them.
         letters = [(w, t) for w, t in todo if t.isalpha()]
-        ids = np.asarray(self.tokenizer.encode(" ".join(t for _, t in letters), add_special_tokens=False).ids, "<u4") if letters else np.empty(0, "<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, "<u4") if letters else np.empty(0, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(letters) and (not len(ends) or ends[-1] == len(ids)):
             data, at = ids.tobytes(), (4 * ends).tolist()
