@@ -10,7 +10,7 @@ from declgraph.llm.common import WORD, cut, pick, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SEED = 20240229
-SLICE_ROWS = 20_000
+SLICE_ROWS = 500
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -48,11 +48,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     Null texts have size 0; the null source comes last; a source of size 0 has target 0 and is not taken. Equal rows are
     told apart by their place in the table. An empty table gives no rows.
     """
-    sized = sizes(docs)
-    many = sized.count()
-    slices = max(1, -(-many // slice_rows))
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    placed = sized.withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")).withColumn("h", key).withColumn("slice", F.shiftrightunsigned("h", 32) * slices / F.lit(4294967296.0)).withColumn("slice", F.floor("slice").cast("long"))
+    sized = sizes(docs).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "uid")
+    # A crowded size class has as many slices as its rows ask for.
+    many = cut(sized.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(slice_rows)).alias("slices")), "classes").toDF("ms", "mc", "slices")
+    placed = sized.join(many, F.col("source").eqNullSafe(F.col("ms")) & (F.col("class") == F.col("mc"))).drop("ms", "mc")
+    placed = placed.withColumn("h", key).withColumn("slice", F.floor(F.shiftrightunsigned("h", 32) * F.col("slices") / F.lit(4294967296.0)).cast("long")).drop("slices")
     # One row for each slice and source: far fewer than documents; joined on null-safe keys.
     counts = placed.groupBy("source", "class", "slice").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     totals = cut(targets(cut(counts.groupBy("source").agg(F.sum("words").alias("source_size")), "totals"), weights, most), "targets")
