@@ -17,7 +17,7 @@ from declgraph.llm.common import cut, pick, table, worker_cache
 GIANT_CHARS = 65536  # longer texts are split
 CHUNK_CHARS = 16384
 GROUP = 64  # chunks whose matrices are combined first
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 SPACE = "▁"
 NONE = -np.inf
 
@@ -92,9 +92,11 @@ class Coder:
         return parts
 
     def valid(self, piece: str) -> bool:
+        if piece not in self.score:
+            return False
         ok = self.own.get(piece)
         if ok is None:
-            ok = self.own[piece] = piece in self.score and self.merge(piece) == [piece]
+            ok = self.own[piece] = self.merge(piece) == [piece]
         return ok
 
     def follows(self, left: str, right: str) -> bool:
@@ -296,12 +298,14 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int =
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     short = rows.where(F.length("text") <= giant).mapInArrow(_encode(shared), "uid long, doc_id long, sha string, ids binary")
     chunks = rows.where(F.length("text") > giant).mapInArrow(_split(longest, chunk), "uid long, doc_id long, sha string, ix long, text string, a long, b long")
-    chunks = cut(chunks.repartition("uid", "ix"), "chunks")
-    matrices = cut(chunks.mapInArrow(_matrices(shared), "uid long, ix long, m binary"), "matrices").withColumn("g", F.floor(F.col("ix") / GROUP).cast("long"))
+    chunks = cut(chunks, "chunks")
+    # A few chunks to a task: they are small to send and long to work on.
+    tasks = max(1, -(-chunks.count() // 4))
+    matrices = cut(chunks.repartition(tasks, "uid", "ix").mapInArrow(_matrices(shared), "uid long, ix long, m binary"), "matrices").withColumn("g", F.floor(F.col("ix") / GROUP).cast("long"))
     groups = cut(matrices.groupBy("uid", "g").applyInPandas(_combined, "uid long, g long, m binary"), "groups")
     ends = cut(groups.groupBy("uid").applyInPandas(_group_ends, "uid long, g long, ends binary"), "group-ends")
     ends = cut(matrices.join(ends, ["uid", "g"]).groupBy("uid", "g").applyInPandas(_chunk_ends, "uid long, ix long, ends binary"), "chunk-ends")
-    traced = chunks.join(ends, ["uid", "ix"]).mapInArrow(_traces(shared), "uid long, doc_id long, sha string, ix long, ids binary")
+    traced = chunks.join(ends, ["uid", "ix"]).repartition(tasks, "uid", "ix").mapInArrow(_traces(shared), "uid long, doc_id long, sha string, ix long, ids binary")
     # A document's ids come together in the row that holds them.
     whole = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.array_sort(F.collect_list(F.struct("ix", "ids"))).alias("parts"))
     joined = whole.select("uid", "doc_id", "sha", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
