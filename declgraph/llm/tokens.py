@@ -24,14 +24,15 @@ MOST_PARTS = 100_000
 BLOCK_BYTES = 4 << 20  # frames of one block
 LEVEL = 3
 CACHED_WORDS = 400_000
+TAILS = b".,!?;:*#%&$"  # what may follow a letter and is a piece of its own
 BLOCK_SCHEMA = "part int, first_doc long, last_doc long, n_docs long, rel_start long, n_tokens long, dict_sha256 string, index binary, payload binary"
 
 
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, the library's own, remembered by word.
 
-    The tokenizer never joins characters across ASCII white space, lower-cases, and starts a new piece at a full stop or
-    comma after a letter, so ids of a text are those of its words put together. Texts that may hold a special token's
+    The tokenizer never joins characters across ASCII white space, lower-cases, and starts a new piece at a mark of TAILS
+    after a letter, so ids of a text are those of its words put together. Texts that may hold a special token's
     string go to the library whole.
     """
 
@@ -50,7 +51,7 @@ class Encoder:
         tails: dict[bytes, tuple[bytes, bytes]] = {}
         plain: set[bytes] = set()
         for word in missing:
-            core = word.rstrip(b".,")
+            core = word.rstrip(TAILS)
             if core and core != word and core[-1:].isalpha():
                 tails[word] = core, word[len(core) :]
                 plain.update(tails[word])
