@@ -70,6 +70,34 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def lean(run, keep: str | None = None):
+    """`run` for mapInArrow, in a worker that holds little else: the caches of other operators go before it, and what it
+    allocated goes back to the system after it. Workers outlive their tasks, and an executor's memory counts them all."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+        import sys
+
+        import pyarrow as pa
+
+        home = sys.modules.get("_declgraph_worker_cache")
+        for name, held in list(vars(home).items()) if home else ():
+            if isinstance(held, dict) and not name.startswith("__") and name != keep:
+                held.clear()
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # no glibc: memory stays with the worker
+                pass
+
+    return wrapped
+
+
 def smallest(rows: DataFrame, n: int) -> list:
     """At most n rows of rows(h, ...) with the smallest h: found on h alone, so that little else reaches the driver."""
     last = rows.select("h").orderBy("h").limit(n).agg({"h": "max"}).first()[0]

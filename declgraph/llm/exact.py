@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, pick, table
+from declgraph.llm.common import cut, lean, pick, table
 
 BLOCK_BYTES = 16384
 _PART = 1 << 40  # names of one sorted partition
@@ -98,7 +98,7 @@ def _name(keyed: DataFrame, what: str) -> DataFrame:
     also reports the keys of its first and last hash; the smallest number of a key holds. Keys are compared in full.
     """
     ranged = keyed.withColumn("h", F.xxhash64("key")).repartitionByRange("h", "uid").sortWithinPartitions("h", "key", "uid")
-    named = cut(ranged.mapInArrow(_rank, "uid long, doc_id long, ix long, n long, sha binary, name long, edge_h long, edge_key binary"), what)
+    named = cut(ranged.mapInArrow(lean(_rank), "uid long, doc_id long, ix long, n long, sha binary, name long, edge_h long, edge_key binary"), what)
     edge = named.where("edge_h is not null").select("edge_h", "edge_key", "name")
     least = edge.groupBy("edge_h", "edge_key").agg(F.min("name").alias("least"))
     # A few rows for each partition of the exchange, whatever the input: the bound that allows the broadcast.
@@ -110,7 +110,7 @@ def _name(keyed: DataFrame, what: str) -> DataFrame:
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """uid, doc_id, sha, n, name: rows of docs have equal (n, name) if and only if their normalised texts are equal."""
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    blocks = rows.mapInArrow(_to_blocks(block_bytes), "uid long, doc_id long, ix long, n long, sha binary, key binary")
+    blocks = rows.mapInArrow(lean(_to_blocks(block_bytes)), "uid long, doc_id long, ix long, n long, sha binary, key binary")
     level = _name(blocks, "names")
     done, left, width = [], level, 1
     longest = level.agg(F.max("n")).first()[0] or 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, pick, smallest, table
+from declgraph.llm.common import cut, lean, pick, smallest, table
 
 SAMPLE_DOCS = 4000  # labelled rows that the text model is trained on, and the characters of each
 SAMPLE_CHARS = 2000
@@ -101,7 +101,7 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
     spark = rows.sparkSession
     model = spark.sparkContext.broadcast(logs)
     clean = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("declared", "suffix", "host", "domain")]
-    scored = rows.select("uid", "id", "text", *clean).mapInArrow(_likelihoods(model, markup), "uid long, id long, declared string, suffix string, host string, domain string, loglik array<double>, letters boolean")
+    scored = rows.select("uid", "id", "text", *clean).mapInArrow(lean(_likelihoods(model, markup)), "uid long, id long, declared string, suffix string, host string, domain string, loglik array<double>, letters boolean")
     scored = cut(scored, "text-likelihoods")
     if not n:
         return scored.select("uid", "id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(False).alias("accepted"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, pick, table, worker_cache
+from declgraph.llm.common import cut, lean, pick, table, worker_cache
 
 GIANT_CHARS = 65536  # longer texts are split
 CHUNK_CHARS = 16384
@@ -39,7 +39,7 @@ class Coder:
         self.score = {sp.id_to_piece(i): (sp.get_score(i), i) for i in plain}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.longest = max(map(len, self.score))
-        self.shown = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
+        self.shown = _shown(sp)
         probe = sp.encode("a  b")
         fine = len(self.bytes) == 256 and "\n" not in "".join(self.score) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         if not fine or sp.decode(probe) != "a  b" or len(sp.encode("\n")) != 2 or sp.encode("Åﬁ") == sp.encode("Åfi"):
@@ -75,8 +75,7 @@ class Coder:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return _text(self.shown, ids)
 
     # the lattice -----------------------------------------------------------------------------------------------
 
@@ -160,6 +159,16 @@ class Coder:
         return [i for piece in reversed(out) for i in ([self.score[piece][1]] if piece in self.score else [self.bytes[c] for c in piece.encode()])]
 
 
+def _shown(sp) -> list[bytes]:
+    """What each id stands for in a text."""
+    return [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(sp.get_piece_size())]
+
+
+def _text(shown: list[bytes], ids: bytes) -> str:
+    data = b"".join(map(shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
+
 def _units(line: str) -> list[str]:
     if "  " in line or line[-1] == " ":
         return re.findall(" *[^ ]+| +", line)
@@ -296,16 +305,16 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int =
     chunk = max(chunk, longest)
     shared = spark.sparkContext.broadcast(model)
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    short = rows.where(F.length("text") <= giant).mapInArrow(_encode(shared), "uid long, doc_id long, sha string, ids binary")
-    chunks = rows.where(F.length("text") > giant).mapInArrow(_split(longest, chunk), "uid long, doc_id long, sha string, ix long, text string, a long, b long")
+    short = rows.where(F.length("text") <= giant).mapInArrow(lean(_encode(shared), "pieces"), "uid long, doc_id long, sha string, ids binary")
+    chunks = rows.where(F.length("text") > giant).mapInArrow(lean(_split(longest, chunk), "pieces"), "uid long, doc_id long, sha string, ix long, text string, a long, b long")
     chunks = cut(chunks, "chunks")
     # A few chunks to a task: they are small to send and long to work on.
     tasks = max(1, -(-chunks.count() // 4))
-    matrices = cut(chunks.repartition(tasks, "uid", "ix").mapInArrow(_matrices(shared), "uid long, ix long, m binary"), "matrices").withColumn("g", F.floor(F.col("ix") / GROUP).cast("long"))
+    matrices = cut(chunks.repartition(tasks, "uid", "ix").mapInArrow(lean(_matrices(shared), "pieces"), "uid long, ix long, m binary"), "matrices").withColumn("g", F.floor(F.col("ix") / GROUP).cast("long"))
     groups = cut(matrices.groupBy("uid", "g").applyInPandas(_combined, "uid long, g long, m binary"), "groups")
     ends = cut(groups.groupBy("uid").applyInPandas(_group_ends, "uid long, g long, ends binary"), "group-ends")
     ends = cut(matrices.join(ends, ["uid", "g"]).groupBy("uid", "g").applyInPandas(_chunk_ends, "uid long, ix long, ends binary"), "chunk-ends")
-    traced = chunks.join(ends, ["uid", "ix"]).repartition(tasks, "uid", "ix").mapInArrow(_traces(shared), "uid long, doc_id long, sha string, ix long, ids binary")
+    traced = chunks.join(ends, ["uid", "ix"]).repartition(tasks, "uid", "ix").mapInArrow(lean(_traces(shared), "pieces"), "uid long, doc_id long, sha string, ix long, ids binary")
     # A document's ids come together in the row that holds them.
     whole = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.array_sort(F.collect_list(F.struct("ix", "ids"))).alias("parts"))
     joined = whole.select("uid", "doc_id", "sha", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
@@ -314,11 +323,17 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int =
 
 def _decode(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(model)
+        import sentencepiece
+
+        # Only the table of pieces: a decoder runs beside every encoder.
+        cache, key = worker_cache("pieces"), ("shown", hash(model.value))
+        if key not in cache:
+            cache[key] = _shown(sentencepiece.SentencePieceProcessor(model_proto=model.value))
+        shown = cache[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = pa.array([coder.decode(x.as_buffer()) for x in part["ids"]], pa.string())
+                texts = pa.array([_text(shown, x.as_buffer()) for x in part["ids"]], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return run
@@ -330,7 +345,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*encoded.schema.fields]).add("decoded", StringType())
-    return encoded.mapInArrow(_decode(shared), schema)
+    return encoded.mapInArrow(lean(_decode(shared), "pieces"), schema)
 
 
 def model_bytes() -> bytes:

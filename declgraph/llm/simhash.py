@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, pick, table
+from declgraph.llm.common import cut, lean, pick, table
 from declgraph.llm.graph import components
 
 SEED = 42
@@ -81,7 +81,7 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     only where every document reached has a null id. Other columns are not looked at; an empty table gives no rows.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    marked = cut(rows.mapInArrow(_fingerprints(width), "uid long, doc_id long, fp long"), "fps")
+    marked = cut(rows.mapInArrow(lean(_fingerprints(width)), "uid long, doc_id long, fp long"), "fps")
     roots = components(links(marked.select("fp").distinct()))
     rooted = cut(marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("uid", "doc_id", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
@@ -157,11 +157,11 @@ def similar(docs: DataFrame, width: int = 5, limit: int = LIMIT) -> DataFrame:
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
     key_bits = min(32, max(16, rows.count().bit_length()))
-    marked = cut(rows.mapInArrow(_wide(width, key_bits), "uid long, doc_id long, bits binary, keys array<long>"), "wide")
+    marked = cut(rows.mapInArrow(lean(_wide(width, key_bits)), "uid long, doc_id long, bits binary, keys array<long>"), "wide")
     coarse = F.conv(F.hex(F.substring("bits", 1, 8)), 16, -10).cast("long")
     keyed = marked.select("uid", coarse.alias("coarse"), F.posexplode("keys").alias("at", "key"))
     keyed = keyed.select("uid", "coarse", F.expr(f"((at % {SEGMENTS}) << 32) | key").alias("bucket"))
-    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "uid").mapInArrow(_leaders, "x long, y long")
+    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "uid").mapInArrow(lean(_leaders), "x long, y long")
     pairs = cut(met.distinct(), "met")
     side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
