@@ -19,7 +19,8 @@ RADIUS = 2
 #: The wide fingerprint, for a similarity instead of a few bits: 16 words, in 32 segments of 32 bits.
 WIDE_WORDS = 16
 SEGMENTS = 2 * WIDE_WORDS
-LIMIT = 160  # of 1,024 bits: what texts of Jaccard similarity 0.8 differ in (cosine 0.89, 154 bits), and half a deviation
+LEAST = 0.8
+LIMIT = 200  # of 1,024 bits: what texts of Jaccard similarity 0.8 differ in (cosine 0.89, 154 bits), and four deviations
 _EXPAND = np.asarray([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(WIDE_WORDS)], np.uint64)
 
 
@@ -90,13 +91,11 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def wide_fingerprint(text: str | None, width: int, key_bits: int) -> tuple[bytes, np.ndarray]:
-    """1,024 bits, each set if set in over half the shingles' expanded hashes, and two keys for each segment: its
+    """1,024 bits, each set if set in over half the different shingles' expanded hashes, and two keys for each segment: its
     lowest `key_bits` bits, and the same with the bit flipped that the fewest shingles decided."""
-    words = (text or "").encode().lower().split()
-    counts, n = np.zeros(64 * WIDE_WORDS, np.int64), 0
-    if words:
-        hashes = np.fromiter(shingle_hashes(words, width), np.uint64)
-        n = len(hashes)
+    hashes = shingle_set(text, width)
+    counts, n = np.zeros(64 * WIDE_WORDS, np.int64), len(hashes)
+    if n:
         for at in range(0, n, 2048):
             x = (hashes[at : at + 2048, None] ^ _EXPAND[None]) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
@@ -121,62 +120,124 @@ def _wide(width: int, key_bits: int):
 
 
 COARSE_LIMIT = 22  # of the first 64 bits: random texts differ in 32, and one pair in 200 in as few as this
+LEADS = 12  # a row farther than this from all leaders of its bucket leads as well
+OPEN_ROWS = 16  # so many rows of a bucket lead in any case
+SLICE_PAIRS = 512  # pairs of one leader that a task compares
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, uid) -> links to the bucket's leaders. A row that is far from all of them leads as well:
-    rows are compared with leaders, of which a group of near copies has one or few, not with each other."""
+    """Rows sorted by (bucket, doc_id, uid) -> pairs with the bucket's leaders before them, `first` for the first such.
+
+    Small buckets have leaders only, so all their pairs come; in crowded ones a row leads if it is far from all leaders,
+    of which a group of near copies has few.
+    """
     was, leaders = None, []
     for batch in batches:
-        left, right = [], []
+        left, right, first = [], [], []
         for bucket, uid, coarse in zip(*(batch[c].to_pylist() for c in ("bucket", "uid", "coarse")), strict=True):
             if bucket != was:
                 was, leaders = bucket, [(uid, coarse)]
                 continue
-            alone = True
+            nearest, any_yet = 64, False
             for other, bits in leaders:
-                if ((bits ^ coarse) & 0xFFFFFFFFFFFFFFFF).bit_count() <= COARSE_LIMIT:
-                    alone = False
-                    if other != uid:
-                        left.append(uid)
-                        right.append(other)
-            if alone:
+                d = ((bits ^ coarse) & 0xFFFFFFFFFFFFFFFF).bit_count()
+                nearest = min(nearest, d)
+                if d <= COARSE_LIMIT and other != uid:
+                    left.append(uid)
+                    right.append(other)
+                    first.append(not any_yet)
+                    any_yet = True
+            if len(leaders) < OPEN_ROWS or nearest > LEADS:
                 leaders.append((uid, coarse))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(first, pa.bool_())], names=["x", "y", "first"])
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    words = (text or "").encode().lower().split()
+    return np.unique(np.fromiter(shingle_hashes(words, width), np.uint64))
 
 
-def similar(docs: DataFrame, width: int = 5, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of docs(doc_id, text): uid, doc_id, kept. Documents of a Jaccard similarity of about 0.8 or
-    more on `width`-word shingles are linked, and of each component of links the smallest doc_id stays.
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
-    Multi-index hashing for a radius of 160 bits in 1,024: within each of 32 segments the fingerprint itself and its
-    likeliest neighbour at distance one (the ball's point with the least decided bit flipped) are table keys, with as
-    many bits as the number of documents asks for, so that a bucket holds few by chance. Rows of a bucket are compared with its leaders on 64
-    bits, and each link on all 1,024. A pair at similarity 0.8 meets in one of 64 keys with a probability of about
-    0.98, closer pairs almost always; README has measured figures. Null texts count as empty; no rows give none.
+
+def _alike(width: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (y, slice, x), y's own text first (x null) -> the pairs whose similarity is `least` or more."""
+        mine = None
+        for batch in batches:
+            left, right = [], []
+            for y, x, text in zip(batch["y"].to_pylist(), batch["x"].to_pylist(), batch["text"], strict=True):
+                shingles = shingle_set(text.as_py(), width)
+                if x is None:
+                    mine = shingles
+                elif jaccard(mine, shingles) >= least:
+                    left.append(x)
+                    right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["x", "y"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int, least: float, limit: int) -> DataFrame:
+    """The pairs(x, y) whose texts are alike: first the complete distance of their fingerprints, then their shingles.
+
+    A leader's text is sent once for each slice of its pairs, so a leader of very many rows spreads over tasks, and a
+    task holds the shingles of two texts at a time.
+    """
+    side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"))
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(WIDE_WORDS)), F.lit(0))
+    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= limit).select("x", "y"), "close")
+    many = close.groupBy("y").agg(F.ceil(F.count("*") / F.lit(SLICE_PAIRS)).cast("int").alias("slices"))
+    sliced = close.join(many, "y").select(F.col("x").alias("uid"), "x", "y", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"))
+    own = many.select(F.col("y").alias("uid"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    texts = rows.select("uid", "text").join(sliced.unionByName(own), "uid").select("y", "slice", "x", "text")
+    ordered = texts.repartition("y", "slice").sortWithinPartitions("y", "slice", F.col("x").asc_nulls_first())
+    return cut(ordered.mapInArrow(lean(_alike(width, least)), "x long, y long"), "alike")
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
+    """One row for each row of docs(doc_id, text): uid, doc_id, kept. Documents whose sets of `width`-word shingles have
+    a Jaccard similarity of `least` or more are linked, and of each component of links the smallest doc_id stays.
+
+    Multi-index hashing over 1,024 bits: within each of 32 segments the fingerprint itself and its likeliest neighbour
+    at distance one (the ball's point with the least decided bit flipped) are table keys, with as many bits as the number
+    of documents asks for, so that a bucket holds few by chance. Rows of a bucket are compared with its leaders on 64
+    bits, then on all 1,024, and what is left on the shingles themselves, so no link is wrong. Each row's first leaders
+    are verified before the others, and of these only those that are not joined to it by then. A pair at similarity 0.8
+    meets in one of 64 keys with a probability of about 0.98, closer pairs almost always; README has measured figures.
+    The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as empty, and texts without
+    words as alike; no rows give none.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
     key_bits = min(32, max(16, rows.count().bit_length()))
     marked = cut(rows.mapInArrow(lean(_wide(width, key_bits)), "uid long, doc_id long, bits binary, keys array<long>"), "wide")
     coarse = F.conv(F.hex(F.substring("bits", 1, 8)), 16, -10).cast("long")
-    keyed = marked.select("uid", coarse.alias("coarse"), F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("uid", "coarse", F.expr(f"((at % {SEGMENTS}) << 32) | key").alias("bucket"))
-    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "uid").mapInArrow(lean(_leaders), "x long, y long")
-    pairs = cut(met.distinct(), "met")
-    side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(WIDE_WORDS)), F.lit(0))
-    close = pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= limit)
-    roots = components(close.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+    keyed = marked.select("uid", "doc_id", coarse.alias("coarse"), F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.select("uid", "doc_id", "coarse", F.expr(f"((at % {SEGMENTS}) << 32) | key").alias("bucket"))
+    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "uid").mapInArrow(lean(_leaders), "x long, y long, first boolean")
+    pairs = cut(met.groupBy("x", "y").agg(F.max("first").alias("first")), "met")
+    edge = lambda p: p.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    alike = _verified(pairs.where("first").select("x", "y"), marked, rows, width, least, limit)
+    roots = components(edge(alike))
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = pairs.where("not first").join(root("x"), "x", "left").join(root("y"), "y", "left").where("coalesce(x_root, x) <> coalesce(y_root, y)")
+    more = _verified(apart.select("x", "y"), marked, rows, width, least, limit)
+    roots = components(edge(alike.unionByName(more)))
     rooted = cut(marked.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
-    least = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")
-    return rooted.join(least, "root", "left").select("uid", "doc_id", F.expr("best is null or best.uid = uid").alias("kept"))
+    least_of = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")
+    return rooted.join(least_of, "root", "left").select("uid", "doc_id", F.expr("best is null or best.uid = uid").alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, limit: int = LIMIT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
     """The rows of docs that similar() keeps, with all their columns. docs must be a stored table (it is read twice)."""
-    dropped = cut(similar(docs, width, limit).where("not kept").select(F.col("uid").alias("__uid")), "near-copies")
+    dropped = cut(similar(docs, width, least).where("not kept").select(F.col("uid").alias("__uid")), "near-copies")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")
 
 

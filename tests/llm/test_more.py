@@ -156,3 +156,28 @@ def test_similar_keeps_one_of_each_group(spark):
     path = new_path(spark, "similar")
     frame.write.parquet(path)
     assert sorted(x.doc_id for x in simhash.drop_near_copies(spark.read.parquet(path)).collect()) == [g * 10 for g in range(groups)]
+
+
+def test_similar_equals_all_pairs_near_the_threshold(spark):
+    """Chains of edits whose ends are not alike, short, empty and null texts, a repeated row: as all pairs would link them."""
+    r = np.random.default_rng(11)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 5))
+    rows = [(900, None), (901, ""), (902, "one two"), (903, "One  TWO"), (904, "one three"), (None, "one two"), (902, "one two")]
+    for g in range(12):
+        w = [word() for _ in range(120)]
+        for k in range(6):
+            rows.append((g * 10 + k, " ".join(w)))
+            for at in r.integers(120, size=int(r.integers(1, 6))):
+                w[int(at)] = word()
+    for reordered in (rows, rows[::-1]):
+        path = new_path(spark, "chains")
+        spark.createDataFrame(reordered, "doc_id long, text string").write.parquet(path)
+        got = sorted(x.doc_id for x in simhash.drop_near_copies(spark.read.parquet(path)).collect())
+        order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
+        sets, root = [simhash.shingle_set(t, 5) for _, t in order], list(range(len(order)))
+        for i in range(len(order)):
+            for j in range(i):
+                if simhash.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if x == high else x for x in root]
+        assert got == sorted(order[i][0] for i in range(len(order)) if root[i] == i)
