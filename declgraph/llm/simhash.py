@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from declgraph.llm.common import cut, lean, pick, table
@@ -16,12 +17,12 @@ from declgraph.llm.graph import components
 
 SEED = 42
 RADIUS = 2
-#: The wide fingerprint, for a similarity instead of a few bits: 16 words, in 32 segments of 32 bits.
-WIDE_WORDS = 16
-SEGMENTS = 2 * WIDE_WORDS
 LEAST = 0.8
-LIMIT = 200  # of 1,024 bits: what texts of Jaccard similarity 0.8 differ in (cosine 0.89, 154 bits), and four deviations
-_EXPAND = np.asarray([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(WIDE_WORDS)], np.uint64)
+PARITY_BITS = 1024
+LIMIT = 200  # of these
+#: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
+SAMPLE_ROWS, SAMPLE_LEAST, SAMPLE_TOP = 10_000, 4, 100_000
+SLACK = 1e-9  # bounds give way by so much for rounding
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
@@ -90,66 +91,61 @@ def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     return rooted.join(least, "root").select("uid", "doc_id", "fp", F.col("best.doc_id").alias("component_id"), F.expr("best.uid = uid").alias("kept"))
 
 
-def wide_fingerprint(text: str | None, width: int, key_bits: int) -> tuple[bytes, np.ndarray]:
-    """1,024 bits, each set if set in over half the different shingles' expanded hashes, and two keys for each segment: its
-    lowest `key_bits` bits, and the same with the bit flipped that the fewest shingles decided."""
-    hashes = shingle_set(text, width)
-    counts, n = np.zeros(64 * WIDE_WORDS, np.int64), len(hashes)
-    if n:
-        for at in range(0, n, 2048):
-            x = (hashes[at : at + 2048, None] ^ _EXPAND[None]) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(32)
-            counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    own = bits.view(np.uint32).astype(np.int64) & ((1 << key_bits) - 1)
-    weakest = np.abs(counts * 2 - n).reshape(SEGMENTS, 32)[:, :key_bits].argmin(1)
-    return bits.tobytes(), np.concatenate([own, own ^ (1 << weakest)])
-
-
-def _wide(width: int, key_bits: int):
+def prefix(shingles: np.ndarray, least: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, in the order of (sample's count, hash): as many as make sure that any two sets with
+    a Jaccard similarity of `least` or more have one of these in common (at least * n of n are shared, so one of the others is not enough)."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    if len(often):
+        at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
+        shingles = shingles[np.argsort(np.where(often[at] == shingles, counts[at], 0), kind="stable")]
+    return shingles[: n - math.ceil(least * n - SLACK) + 1]
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of shingles fall on it. Two sets' bits differ in no more places than the sets do in members."""
+    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
+def _signed(width: int, least: float, often: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                bits, keys = zip(*(wide_fingerprint(t.as_py(), width, key_bits) for t in part["text"]), strict=True)
-                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(bits, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["uid", "doc_id", "bits", "keys"])
+                n, same, bits, keys = [], [], [], []
+                for text in part["text"]:
+                    shingles = shingle_set(text.as_py(), width)
+                    n.append(len(shingles))
+                    same.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    bits.append(parity(shingles))
+                    keys.append(prefix(shingles, least, often, counts).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "same", "bits", "keys"])
 
     return run
 
 
-COARSE_LIMIT = 22  # of the first 64 bits: random texts differ in 32, and one pair in 200 in as few as this
-LEADS = 12  # a row farther than this from all leaders of its bucket leads as well
-OPEN_ROWS = 16  # so many rows of a bucket lead in any case
-SLICE_PAIRS = 512  # pairs of one leader that a task compares
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t.as_py(), width) for t in batch["text"].slice(lo, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["s"])
 
+    return run
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, doc_id, uid) -> pairs with the bucket's leaders before them, `first` for the first such.
 
-    Small buckets have leaders only, so all their pairs come; in crowded ones a row leads if it is far from all leaders,
-    of which a group of near copies has few.
-    """
-    was, leaders = None, []
-    for batch in batches:
-        left, right, first = [], [], []
-        for bucket, uid, coarse in zip(*(batch[c].to_pylist() for c in ("bucket", "uid", "coarse")), strict=True):
-            if bucket != was:
-                was, leaders = bucket, [(uid, coarse)]
-                continue
-            nearest, any_yet = 64, False
-            for other, bits in leaders:
-                d = ((bits ^ coarse) & 0xFFFFFFFFFFFFFFFF).bit_count()
-                nearest = min(nearest, d)
-                if d <= COARSE_LIMIT and other != uid:
-                    left.append(uid)
-                    right.append(other)
-                    first.append(not any_yet)
-                    any_yet = True
-            if len(leaders) < OPEN_ROWS or nearest > LEADS:
-                leaders.append((uid, coarse))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(first, pa.bool_())], names=["x", "y", "first"])
+def _often(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents of a sample, sorted, and in how many they are. Only speed depends on them."""
+    share = max(1, rows.count() // SAMPLE_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0).select("text").mapInArrow(lean(_shingles(width)), "s long")
+    found = some.groupBy("s").agg(F.count("*").alias("c")).where(f"c >= {SAMPLE_LEAST}").orderBy(F.desc("c"), "s").limit(SAMPLE_TOP).toArrow()
+    s, c = (np.asarray(found[i].to_numpy()) for i in ("s", "c"))
+    order = np.argsort(s.view(np.uint64))
+    return s.view(np.uint64)[order], c[order].astype(np.int32)
+
+
+SLICE_PAIRS = 512  # pairs of one leader that a task compares
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -183,16 +179,16 @@ def _alike(width: int, least: float):
     return run
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int, least: float, limit: int) -> DataFrame:
-    """The pairs(x, y) whose texts are alike: first the complete distance of their fingerprints, then their shingles.
+def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs(x, y) whose texts are alike: first the complete distance of their parities, then their shingles.
 
-    A leader's text is sent once for each slice of its pairs, so a leader of very many rows spreads over tasks, and a
-    task holds the shingles of two texts at a time.
+    A leader's text is sent once for each slice of its pairs, so a leader of
+    very many rows spreads over tasks, and a task holds the shingles of two texts at a time.
     """
-    side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"))
+    side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(WIDE_WORDS)), F.lit(0))
-    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= limit).select("x", "y"), "close")
+    distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= LIMIT).select("x", "y"), "close")
     many = close.groupBy("y").agg(F.ceil(F.count("*") / F.lit(SLICE_PAIRS)).cast("int").alias("slices"))
     sliced = close.join(many, "y").select(F.col("x").alias("uid"), "x", "y", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"))
     own = many.select(F.col("y").alias("uid"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
@@ -201,34 +197,26 @@ def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int,
     return cut(ordered.mapInArrow(lean(_alike(width, least)), "x long, y long"), "alike")
 
 
-def similar(docs: DataFrame, width: int = 5, least: float = LEAST, limit: int = LIMIT) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
     """One row for each row of docs(doc_id, text): uid, doc_id, kept. Documents whose sets of `width`-word shingles have
     a Jaccard similarity of `least` or more are linked, and of each component of links the smallest doc_id stays.
 
-    Multi-index hashing over 1,024 bits: within each of 32 segments the fingerprint itself and its likeliest neighbour
-    at distance one (the ball's point with the least decided bit flipped) are table keys, with as many bits as the number
-    of documents asks for, so that a bucket holds few by chance. Rows of a bucket are compared with its leaders on 64
-    bits, then on all 1,024, and what is left on the shingles themselves, so no link is wrong. Each row's first leaders
-    are verified before the others, and of these only those that are not joined to it by then. A pair at similarity 0.8
-    meets in one of 64 keys with a probability of about 0.98, closer pairs almost always; README has measured figures.
-    The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as empty, and texts without
-    words as alike; no rows give none.
+    Prefix filter: in one order of all shingles, two alike sets share one of their first few, so a document's bucket keys
+    are these, and every linked pair shares a bucket, whatever the number and the size of the documents. Equal sets are
+    one node. Each row of a bucket is verified against its smallest row, on the shingles themselves. The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as
+    empty, and texts without words as alike; no rows give none.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    key_bits = min(32, max(16, rows.count().bit_length()))
-    marked = cut(rows.mapInArrow(lean(_wide(width, key_bits)), "uid long, doc_id long, bits binary, keys array<long>"), "wide")
-    coarse = F.conv(F.hex(F.substring("bits", 1, 8)), 16, -10).cast("long")
-    keyed = marked.select("uid", "doc_id", coarse.alias("coarse"), F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("uid", "doc_id", "coarse", F.expr(f"((at % {SEGMENTS}) << 32) | key").alias("bucket"))
-    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "uid").mapInArrow(lean(_leaders), "x long, y long, first boolean")
-    pairs = cut(met.groupBy("x", "y").agg(F.max("first").alias("first")), "met")
-    edge = lambda p: p.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    alike = _verified(pairs.where("first").select("x", "y"), marked, rows, width, least, limit)
-    roots = components(edge(alike))
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.where("not first").join(root("x"), "x", "left").join(root("y"), "y", "left").where("coalesce(x_root, x) <> coalesce(y_root, y)")
-    more = _verified(apart.select("x", "y"), marked, rows, width, least, limit)
-    roots = components(edge(alike.unionByName(more)))
+    often, counts = _often(rows, width)
+    marked = cut(rows.mapInArrow(lean(_signed(width, least, often, counts)), "uid long, doc_id long, n int, same binary, bits binary, keys array<long>"), "signed")
+    node = cut(marked.groupBy("same", "n").agg(F.min("uid").alias("node"), F.count("*").alias("rows")), "nodes")
+    equal = marked.select("uid", "same").join(node.where("rows > 1").select("same", "node"), "same").where("uid <> node").select(F.col("uid").alias("u"), F.col("node").alias("v"))
+    keyed = marked.join(node.select(F.col("node").alias("uid")), "uid").select("uid", "n", F.posexplode("keys").alias("pos", "bucket"))
+    of = Window.partitionBy("bucket")
+    shared = cut(keyed.withColumn("y", F.min("uid").over(of)).withColumn("most", F.max("uid").over(of)).where("y < most").drop("most"), "shared")
+    first = shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct()
+    edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    roots = components(equal.unionByName(edge(_verified(first, marked, rows, width, least))))
     rooted = cut(marked.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
     least_of = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")

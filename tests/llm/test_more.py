@@ -181,3 +181,22 @@ def test_similar_equals_all_pairs_near_the_threshold(spark):
                     low, high = sorted((root[i], root[j]))
                     root = [low if x == high else x for x in root]
         assert got == sorted(order[i][0] for i in range(len(order)) if root[i] == i)
+
+
+def kept_of(spark, rows, name):
+    path = new_path(spark, name)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    return sorted(x.doc_id for x in simhash.drop_near_copies(spark.read.parquet(path)).collect())
+
+
+def test_alike_sets_share_a_shingle_of_their_prefixes():
+    """Whatever the number of documents: pairs at 0.8 exactly, of 5 to 1,000 shingles, in any order of shingles."""
+    r = np.random.default_rng(5)
+    for n in (4, 8, 40, 400):
+        for _ in range(200):
+            common, a, b = np.split(r.integers(0, 2**63, n + 2 * (n // 8) + (n == 4), dtype=np.uint64), [n, n + n // 8 + (n == 4)])
+            x, y = np.unique(np.r_[common, a]), np.unique(np.r_[common, b])
+            assert simhash.jaccard(x, y) == 0.8
+            often = np.unique(r.permutation(np.r_[common, a, b])[: n // 2])
+            counts = r.integers(1, 9, len(often))
+            assert len(np.intersect1d(simhash.prefix(x, 0.8, often, counts), simhash.prefix(y, 0.8, often, counts)))
