@@ -145,6 +145,45 @@ def _often(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s.view(np.uint64)[order], c[order].astype(np.int32)
 
 
+def _rest(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (bucket, n, uid) -> the bucket's pairs of different roots, but for those that cannot be alike by
+        their sizes, or by what is left of both from this shingle on (if it is the first that they share, and if it is not,
+        they meet there as well)."""
+        was, held = None, []
+
+        def pairs(part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            uid, root, n, pos = part
+            left = n - pos
+            low = np.searchsorted(n, least * n - SLACK)
+            found, waiting = [], 0
+            for i in range(1, len(uid)):
+                j = slice(low[i], i)
+                ok = (root[j] != root[i]) & (np.minimum(left[j], left[i]) >= least / (1 + least) * (n[j] + n[i]) - SLACK)
+                if ok.any():
+                    other = uid[j][ok]
+                    found.append(np.stack([np.maximum(other, uid[i]), np.minimum(other, uid[i])]))
+                    waiting += len(other)
+                if found and (waiting > 50_000 or i == len(uid) - 1):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["x", "y"])
+                    found, waiting = [], 0
+
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            values = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("uid", "root", "n", "pos")])
+            starts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else [0]
+            for a, b in zip(starts, starts[1:]):
+                if bucket[a] != was and held:
+                    yield from pairs(np.concatenate(held, axis=1))
+                    held = []
+                was = bucket[a]
+                held.append(values[:, a:b])
+        if held:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return run
+
+
 SLICE_PAIRS = 512  # pairs of one leader that a task compares
 
 
@@ -203,7 +242,9 @@ def similar(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
 
     Prefix filter: in one order of all shingles, two alike sets share one of their first few, so a document's bucket keys
     are these, and every linked pair shares a bucket, whatever the number and the size of the documents. Equal sets are
-    one node. Each row of a bucket is verified against its smallest row, on the shingles themselves. The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as
+    one node. Each row of a bucket is verified against its smallest row; then all pairs of a bucket that are in different
+    components by then are, so that a large group of copies costs no square, and no pair is left out. Pairs are verified
+    on the shingles themselves. The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as
     empty, and texts without words as alike; no rows give none.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
@@ -216,7 +257,13 @@ def similar(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
     shared = cut(keyed.withColumn("y", F.min("uid").over(of)).withColumn("most", F.max("uid").over(of)).where("y < most").drop("most"), "shared")
     first = shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct()
     edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    roots = components(equal.unionByName(edge(_verified(first, marked, rows, width, least))))
+    edges = cut(equal.unionByName(edge(_verified(first, marked, rows, width, least))), "edges")
+    roots = components(edges)
+    apart = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
+    apart = apart.withColumn("least", F.min("root").over(of)).withColumn("most", F.max("root").over(of)).where("least < most")
+    met = apart.repartition("bucket").sortWithinPartitions("bucket", "n", "uid").mapInArrow(lean(_rest(least)), "x long, y long")
+    more = _verified(cut(met.distinct(), "met").join(first, ["x", "y"], "left_anti"), marked, rows, width, least)
+    roots = components(edges.unionByName(edge(more)))
     rooted = cut(marked.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
     least_of = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")

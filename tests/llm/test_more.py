@@ -200,3 +200,19 @@ def test_alike_sets_share_a_shingle_of_their_prefixes():
             often = np.unique(r.permutation(np.r_[common, a, b])[: n // 2])
             counts = r.integers(1, 9, len(often))
             assert len(np.intersect1d(simhash.prefix(x, 0.8, often, counts), simhash.prefix(y, 0.8, often, counts)))
+
+
+def test_pairs_in_a_large_template_family_are_found(spark):
+    """1,500 texts of one template that are not alike (0.786), and 60 pairs among them that are (0.818)."""
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 8))
+    template, rows = [word() for _ in range(92)], []
+    for g in range(1500):
+        own = [word() for _ in range(12)]
+        rows.append((2 * g, " ".join(template + own)))
+        if g < 60:
+            rows.append((2 * g + 1, " ".join(template + own[:2] + [word() for _ in range(10)])))
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    assert all(alike(2 * g, 2 * g + 1) for g in range(60)) and not any(alike(0, 2 * g) or alike(1, 2 * g) for g in range(1, 1500))
+    assert kept_of(spark, rows, "family") == [2 * g for g in range(1500)]
