@@ -19,7 +19,6 @@ SEED = 42
 RADIUS = 2
 LEAST = 0.8
 PARITY_BITS = 1024
-LIMIT = 200  # of these
 #: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
 SAMPLE_ROWS, SAMPLE_LEAST, SAMPLE_TOP = 10_000, 4, 100_000
 SLACK = 1e-9  # bounds give way by so much for rounding
@@ -219,15 +218,17 @@ def _alike(width: int, least: float):
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs(x, y) whose texts are alike: first the complete distance of their parities, then their shingles.
+    """The pairs(x, y) whose texts are alike: first by a lower bound of how many shingles only one of them has, then their shingles.
 
-    A leader's text is sent once for each slice of its pairs, so a leader of
+    Alike sets of n and m shingles differ in (1 - least) / (1 + least) * (n + m) of them at most, and their parities in no
+    more bits, so the bound drops no alike pair. A leader's text is sent once for each slice of its pairs, so a leader of
     very many rows spreads over tasks, and a task holds the shingles of two texts at a time.
     """
     side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
-    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= LIMIT).select("x", "y"), "close")
+    most = (F.col("x_n") + F.col("y_n")) * ((1 - least) / (1 + least)) + SLACK
+    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= most).select("x", "y"), "close")
     many = close.groupBy("y").agg(F.ceil(F.count("*") / F.lit(SLICE_PAIRS)).cast("int").alias("slices"))
     sliced = close.join(many, "y").select(F.col("x").alias("uid"), "x", "y", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"))
     own = many.select(F.col("y").alias("uid"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))

@@ -216,3 +216,13 @@ def test_pairs_in_a_large_template_family_are_found(spark):
     alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
     assert all(alike(2 * g, 2 * g + 1) for g in range(60)) and not any(alike(0, 2 * g) or alike(1, 2 * g) for g in range(1, 1500))
     assert kept_of(spark, rows, "family") == [2 * g for g in range(1500)]
+
+
+def test_short_pairs_at_the_threshold_are_found(spark):
+    """4 shingles against 5, as sets 0.8 alike; the majorities of 4 and of 5 votes differ in many bits."""
+    r = np.random.default_rng(7)
+    rows = []
+    for g in range(300):
+        w = ["".join(r.choice(list("abcdefgh"), 8)) for _ in range(9)]
+        rows += [(2 * g, " ".join(w[:8])), (2 * g + 1, " ".join(w))]
+    assert kept_of(spark, rows, "short") == list(range(0, 600, 2))
