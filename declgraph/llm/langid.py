@@ -139,12 +139,12 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> rows for identify(): the declared markup language without its region, the host's
+    """pages(page_id, url, html) -> rows for identify(): the language that the first html tag declares, without its region, the host's
     last label and the first path segment of two letters as suffix, the host, and its last two labels as domain."""
     p = pick(pages, "page_id", "url", "html")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1))
-    declared = F.lower(F.regexp_extract(F.substring("html", 1, 4096), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
+    declared = F.lower(F.regexp_extract(F.regexp_extract("html", r"(?is)<html\b[^>]*", 0), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
     return p.select(
         F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), declared.alias("declared"),
         F.concat_ws("/", F.substring_index(host, ".", -1), path).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),

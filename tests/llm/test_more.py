@@ -226,3 +226,9 @@ def test_short_pairs_at_the_threshold_are_found(spark):
         w = ["".join(r.choice(list("abcdefgh"), 8)) for _ in range(9)]
         rows += [(2 * g, " ".join(w[:8])), (2 * g + 1, " ".join(w))]
     assert kept_of(spark, rows, "short") == list(range(0, 600, 2))
+
+
+def test_declared_language_after_a_long_start(spark):
+    pages = [(0, "<!-- " + "licence " * 2000 + '--><html class="x" lang="de-AT"><p>a'), (1, "<!doctype html><HTML LANG='fr'>"), (2, '<html><p>&lt;x> <html lang="sv">'), (3, "no tag"), (4, None)]
+    frame = spark.createDataFrame([(i, "http://a.b/c", h) for i, h in pages], "page_id long, url string, html string")
+    assert {r.id: r.declared for r in langid.page_evidence(frame).collect()} == {0: "de", 1: "fr", 2: "", 3: "", 4: None}
