@@ -47,3 +47,8 @@ def test_text_functions(spark):
     frame = spark.createDataFrame([("a/vendor/b", "type S interface { Get(k string) }"), ("a/vend", "\tGet(k string) error"), (None, "x.Get(1)")], "d string, t string")
     rows = frame.select(excludes_folder(F.col("d"), ["ven*r"]).alias("x"), interface_candidate(F.col("t"), "Get").alias("c"), build_matches(F.lit(None).cast("boolean")).alias("b")).collect()
     assert [(r.x, r.c, r.b) for r in rows] == [(True, True, True), (False, True, True), (False, False, True)]
+
+
+def test_loose_equal_takes_every_event(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (499_999, "b"), (500_000, "c"), (7_000_000_000, "d")], "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id for r in driver.loose_equal(spark, str(tmp_path)).collect()} == {1, 499_999, 500_000, 7_000_000_000}
