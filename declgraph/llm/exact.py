@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, lean, pick, table
+from declgraph.llm.common import Stored, cut, lean, table
 
 BLOCK_BYTES = 16384
 _PART = 1 << 40  # names of one sorted partition
@@ -107,9 +107,10 @@ def _name(keyed: DataFrame, what: str) -> DataFrame:
     return rows.join(other, "name", "left").select("uid", "doc_id", "ix", "n", "sha", F.coalesce("least", "name").alias("name"))
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame | Stored, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """uid, doc_id, sha, n, name: rows of docs have equal (n, name) if and only if their normalised texts are equal."""
-    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    stored = docs if isinstance(docs, Stored) else Stored(docs)
+    rows = stored.pick("doc_id", "text").select("uid", F.col("doc_id").cast("long"), "text")
     blocks = rows.mapInArrow(lean(_to_blocks(block_bytes)), "uid long, doc_id long, ix long, n long, sha binary, key binary")
     level = _name(blocks, "names")
     done, left, width = [], level, 1
@@ -126,7 +127,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return left.select("uid", "doc_id", "sha", "n", "name")
 
 
-def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame | Stored, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs(doc_id, text): uid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts as equal. Of equal texts the smallest doc_id stays, a null id only where
@@ -147,9 +148,9 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. docs must be a stored table (it is read twice)."""
-    dropped = exact_dedup(docs).where("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names. Kept texts are not exchanged."""
+    stored = Stored(docs)
+    return stored.without(exact_dedup(stored).where("not kept").select("uid"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

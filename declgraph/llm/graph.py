@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut
+from declgraph.llm.common import cut, discard
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -27,9 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-large")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct(), "cc")
+        discard(edges, least)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(large, least)
         now = _digest(edges)
         if now == was:
             break

@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, lean, pick, smallest, table
+from declgraph.llm.common import Stored, cut, lean, pick, table
 
-SAMPLE_DOCS = 4000  # labelled rows that the text model is trained on, and the characters of each
-SAMPLE_CHARS = 2000
+SAMPLE_DOCS = 4000  # labelled rows that the text model is trained on, whole
 BINS = 1 << 15  # of hashed byte trigrams
 EVIDENCE = 120  # trigrams that a text counts for at most: they are not independent
 SMOOTH_HOST = 8.0  # pseudo-documents of the domain in a host's prior, of the whole in a domain's
@@ -30,22 +29,55 @@ def _bins(data: bytes) -> np.ndarray:
     return (a[:-2] * np.uint32(40503) + a[1:-1] * np.uint32(2531) + a[2:] * np.uint32(151)) % np.uint32(BINS)
 
 
+def _log(counts: np.ndarray) -> np.ndarray:
+    counts = counts + 0.5
+    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    """Trigrams of a text by bin, in bounded memory."""
+    out = np.zeros(BINS, np.int64)
+    for at in range(0, max(0, len(data) - 2), 1 << 20):
+        out += np.bincount(_bins(data[at : at + (1 << 20) + 2]), minlength=BINS)
+    return out
+
+
 def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """(lang, text) -> languages and log P(trigram | language), smoothed by half a count."""
     langs = sorted({lang for lang, _ in rows})
-    counts = np.full((len(langs), BINS), 0.5)
+    counts = np.zeros((len(langs), BINS))
     for lang, text in rows:
-        data = text.lower().encode()
-        if len(data) > 2:
-            counts[langs.index(lang)] += np.bincount(_bins(data), minlength=BINS)
-    return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        counts[langs.index(lang)] += _counts(text.lower().encode())
+    return langs, _log(counts)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text -> a task's trigram counts of each language."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            found = _counts(text.as_py().lower().encode())
+            held[lang.as_py()] = held.get(lang.as_py(), 0) + found
+    for lang, counts in held.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([0, *counts[at].tolist()], pa.int64())], names=["lang", "bin", "n"])
 
 
 def train_on(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The model of at most SAMPLE_DOCS labelled rows of documents(doc_id, text, lang), those of smallest id hash."""
+    """The model of at most SAMPLE_DOCS labelled rows of documents(doc_id, text, lang), those of smallest id hash (more only
+    where ids repeat), counted where they lie: what reaches the driver is a table of languages by BINS."""
     rows = pick(documents, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    short = rows.select(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return train([(r["lang"], r["text"]) for r in smallest(short, SAMPLE_DOCS)])
+    rows = rows.select(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
+    last = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg({"h": "max"}).first()[0]
+    if last is None:
+        return [], np.empty((0, BINS), np.float32)
+    found = rows.where(F.col("h") <= last).select("lang", "text").mapInArrow(lean(_counted), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
+    counts = np.zeros((len(langs), BINS))
+    lang, at, n = np.searchsorted(langs, found["lang"].to_pylist()) if langs else np.empty(0, int), found["bin"].to_numpy(), found["n"].to_numpy()
+    real = at >= 0
+    counts[lang[real], at[real]] = n[real]
+    return langs, _log(counts)
 
 
 def _likelihoods(model, markup: bool):
@@ -141,27 +173,27 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray, markup: bool =
 def page_evidence(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> rows for identify(): the language that the first html tag declares, without its region, the host's
     last label and the first path segment of two letters as suffix, the host, and its last two labels as domain."""
-    p = pick(pages, "page_id", "url", "html")
+    p = Stored(pages).pick("page_id", "url", "html")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     declared = F.lower(F.regexp_extract(F.regexp_extract("html", r"(?is)<html\b[^>]*", 0), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
     return p.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), declared.alias("declared"),
+        "uid", F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), declared.alias("declared"),
         F.concat_ws("/", F.substring_index(host, ".", -1), path).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"),
     )
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame | Stored) -> DataFrame:
     """docs(doc_id, text, source) -> rows for identify(); the source stands for the host, there is no markup."""
-    none = F.lit("")
-    return pick(docs, "doc_id", "text", "source").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    none, stored = F.lit(""), docs if isinstance(docs, Stored) else Stored(docs)
+    return stored.pick("doc_id", "text", "source").select("uid", F.col("doc_id").cast("long").alias("id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
 
 
 def drop_unidentified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of docs that identify() accepts, with all their columns. docs must be a stored table."""
-    langs, logs = train_on(labelled)
-    bad = cut(identify(document_evidence(docs), langs, logs).where("not accepted").select(F.col("uid").alias("__uid")), "rejected")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(bad, "__uid", "left_anti").drop("__uid")
+    """The rows of docs that identify() accepts, with all their columns, whatever their names. Null and empty texts and
+    texts without a letter go; rows that are equal stay or go together; no rows give none."""
+    model, stored = train_on(labelled), Stored(docs)
+    return stored.without(identify(document_evidence(stored), *model).where("not accepted").select("uid"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

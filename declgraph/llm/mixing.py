@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import WORD, cut, pick, table
+from declgraph.llm.common import WORD, Stored, cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -32,28 +32,29 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return levelled.withColumn("at", at).select("source", "source_size", F.least("cap", F.coalesce(F.col("at.level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    rows = pick(docs, "doc_id", "source", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+def sizes(docs: DataFrame | Stored, seed: int = SEED) -> DataFrame:
+    """uid, doc_id, source, size and h, a hash of what a row holds: the same wherever the row is stored."""
+    rows = (docs if isinstance(docs, Stored) else Stored(docs)).pick("doc_id", "source", "text").select("uid", F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return cut(rows.select("uid", "doc_id", "source", size.alias("size")), "sizes")
+    return cut(rows.select("uid", "doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")), "sizes")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mix(docs: DataFrame | Stored, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row for each row of docs(doc_id, source, text): uid, doc_id, size, source_size, target, copies, taken.
 
     Within a source each document expects target / source_size copies. Documents stand in an order by size class, so
     every class is sampled evenly and the words taken come near the target; the running sum of expected copies plus one
     seeded offset of the source gives a copy at each integer it crosses. The order is cut into slices (source, size
     class, hash), numbered within and added up across, so no task sorts a whole source however large it is.
-    Null texts have size 0; the null source comes last; a source of size 0 has target 0 and is not taken. Equal rows are
-    told apart by their place in the table. An empty table gives no rows.
+    Null texts have size 0; the null source comes last; a source of size 0 has target 0 and is not taken. The order is by
+    what rows hold, so that reruns agree however the table is stored; only rows equal in id, source and text are told
+    apart by their place, and their results as a whole do not depend on it. An empty table gives no rows.
     """
-    sized = sizes(docs).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
-    key = F.xxhash64(F.lit(seed), "doc_id", "uid")
+    sized = sizes(docs, seed).withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
     # A crowded size class has as many slices as its rows ask for.
     many = cut(sized.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(slice_rows)).alias("slices")), "classes").toDF("ms", "mc", "slices")
     placed = sized.join(many, F.col("source").eqNullSafe(F.col("ms")) & (F.col("class") == F.col("mc"))).drop("ms", "mc")
-    placed = placed.withColumn("h", key).withColumn("slice", F.floor(F.shiftrightunsigned("h", 32) * F.col("slices") / F.lit(4294967296.0)).cast("long")).drop("slices")
+    placed = placed.withColumn("slice", F.floor(F.shiftrightunsigned("h", 32) * F.col("slices") / F.lit(4294967296.0)).cast("long")).drop("slices")
     # One row for each slice and source: far fewer than documents; joined on null-safe keys.
     counts = placed.groupBy("source", "class", "slice").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     totals = cut(targets(cut(counts.groupBy("source").agg(F.sum("words").alias("source_size")), "totals"), weights, most), "targets")
@@ -72,11 +73,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return joined.select("uid", "doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed table: every row of docs as often as mix() says, with its own columns. docs must be a stored table."""
-    copies = cut(mix(docs, **options).select(F.col("uid").alias("__uid"), F.col("copies").cast("int").alias("__copies")).where("__copies > 0"), "copies")
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(copies, "__uid")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__uid", "__copies", "__copy")
+def emit(docs: DataFrame, most: int = MOST, **options) -> DataFrame:
+    """The mixed table: every row of docs as often as mix() says, with its own columns, whatever their names. Rows stay where
+    they are stored and get their copies there; null texts, being of size 0, are taken like others; no rows give none."""
+    stored = Stored(docs)
+    copies = mix(stored, most=most, **options).where("copies > 0").select("uid", F.col("copies").alias("value"))
+    rows = stored.flagged(copies, bits=most.bit_length()).where("__value > 0")
+    return stored.own(rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__value")))))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
