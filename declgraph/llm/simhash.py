@@ -9,16 +9,20 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, lean, pick, table
+from declgraph.llm.common import Stored, cut, hashed_words, lean, rolled, table
 from declgraph.llm.graph import components
 
 SEED = 42
 RADIUS = 2
+SEGMENT = 32  # bits; a fingerprint has two, and one of them differs in RADIUS // 2 bits at most
+CROWDED = 64  # fingerprints of one segment's value; beyond, whole balls stand in for the table of that value
 LEAST = 0.8
 PARITY_BITS = 1024
+BLOCK_ROWS = 2000  # rows of a bucket that are compared with each other in one task
+SLICES = 1024  # tasks that the pairs of one row are dealt to, at most
 #: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
 SAMPLE_ROWS, SAMPLE_LEAST, SAMPLE_TOP = 10_000, 4, 100_000
 SLACK = 1e-9  # bounds give way by so much for rounding
@@ -38,17 +42,18 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[int]:
         yield digest(joined[a : b - 1], SEED)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Bit i is set if it is set in over half the hashes; without words the fingerprint is zero."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    hashes = np.fromiter(shingle_hashes(words, width), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half the hashes; zero without any."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for texts of any length
         part = hashes[at : at + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    words = (text or "").encode().lower().split()
+    return majority(np.fromiter(shingle_hashes(words, width), np.uint64)) if words else 0
 
 
 def _fingerprints(width: int):
@@ -60,28 +65,43 @@ def _fingerprints(width: int):
     return run
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """fps(fp), distinct -> (u, v): links that join all fingerprints at RADIUS or fewer differing bits.
+def _segment(fp: Column, s: int) -> Column:
+    return (F.shiftrightunsigned(fp, SEGMENT * s)).bitwiseAND(F.lit((1 << SEGMENT) - 1))
 
-    Multi-index hashing over two 32-bit segments: each fingerprint enters the table once as it is and once for every
-    point of the ball of radius one within either segment, the other segment unchanged. Two fingerprints are at most
-    two bits apart exactly if their balls share a point, so no match is missed; a bucket holds 65 fingerprints at most.
-    Its members are linked to its smallest one, which keeps rows in proportion to the input even where thousands of
-    near copies lie close together; the complete distance of each link is verified.
-    """
-    ball = F.expr("concat(array(fp), transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i)), transform(sequence(32, 63), i -> fp ^ shiftleft(1L, i)))")
-    near = fps.select("fp", F.explode(ball).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
-    pairs = near.select(F.array_min("near").alias("v"), F.explode("near").alias("u"))
-    return pairs.where(f"u <> v and bit_count(u ^ v) <= {RADIUS}").distinct()
 
+def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """fps(fp), distinct -> (u, v), u > v: links that join all fingerprints at RADIUS or fewer differing bits.
 
-def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
+    Multi-index hashing: a table for each of the two segments holds the fingerprints by that segment's value. Two
+    fingerprints at most two bits apart differ in one bit at most in one segment, so each fingerprint looks up the ball of
+    radius one around either segment, and complete distances of the matches are verified.
+    A value that many fingerprints share (families of near copies) would make its matches the square of them. Those who
+    look up such a value are linked another way, which is as complete: each enters the points of its whole ball of radius one; two are at most two bits
+    apart exactly if their balls share a point; a point has 65 fingerprints at most, which are linked to its smallest.
+    """
+    fps = cut(fps.select("fp"), "distinct-fps")
+    entries = fps.select("fp", F.posexplode(F.array(*(_segment(F.col("fp"), s) for s in (0, 1)))).alias("seg", "value"))
+    full = cut(entries.groupBy("seg", "value").count().where(F.col("count") > crowded).select("seg", "value"), "crowded")
+    ball = lambda s: F.expr(f"transform(sequence(-1, {SEGMENT - 1}), i -> if(i < 0, s{s}, s{s} ^ shiftleft(1L, i)))")
+    both = fps.select("fp", *(_segment(F.col("fp"), s).alias(f"s{s}") for s in (0, 1)))
+    probes = both.select("fp", ball(0).alias("b0"), ball(1).alias("b1")).select("fp", F.posexplode(F.array("b0", "b1")).alias("seg", "values")).select("fp", "seg", F.explode("values").alias("value"))
+    light = entries.join(full, ["seg", "value"], "left_anti").withColumnRenamed("fp", "v")
+    distance = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    near = probes.withColumnRenamed("fp", "u").join(light, ["seg", "value"]).where((F.col("u") > F.col("v")) & (distance <= RADIUS)).select("u", "v")
+    inside = cut(probes.join(full, ["seg", "value"], "left_semi").select("fp").distinct(), "inside-crowded")
+    whole = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
+    points = inside.select("fp", F.explode(whole).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
+    star = points.select(F.array_min("near").alias("v"), F.explode("near").alias("u")).where((F.col("u") != F.col("v")) & (distance <= RADIUS)).select("u", "v")
+    return cut(near.unionByName(star).distinct(), "fp-links")
+
+
+def near_dedup(docs: DataFrame | Stored, width: int = 3) -> DataFrame:
     """One row for each row of docs(doc_id, text): uid, doc_id, fp, component_id (smallest doc_id reached over links).
 
     Null texts count as empty; texts without words have fingerprint zero and link like any other. component_id is null
     only where every document reached has a null id. Other columns are not looked at; an empty table gives no rows.
     """
-    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    rows = (docs if isinstance(docs, Stored) else Stored(docs)).pick("doc_id", "text").select("uid", F.col("doc_id").cast("long"), "text")
     marked = cut(rows.mapInArrow(lean(_fingerprints(width)), "uid long, doc_id long, fp long"), "fps")
     roots = components(links(marked.select("fp").distinct()))
     rooted = cut(marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("uid", "doc_id", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -107,19 +127,32 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
 
 
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text, as 64-bit hashes of their words (A-Z in lower case)."""
+    for lo, hi, offsets, hashes, _ in hashed_words(texts, lower=True):
+        every = rolled(hashes, width)
+        for i in range(hi - lo):
+            a, b = offsets[i], offsets[i + 1]
+            yield np.unique(every[a : b - width + 1] if b - a >= width else rolled(hashes[a:b], int(b - a)) if b > a else every[:0])
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), width))
+
+
 def _signed(width: int, least: float, often: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, same, bits, keys = [], [], [], []
-                for text in part["text"]:
-                    shingles = shingle_set(text.as_py(), width)
+                n, fp, same, bits, keys = [], [], [], [], []
+                for shingles in shingle_sets(part["text"], width):
                     n.append(len(shingles))
+                    fp.append(majority(shingles))
                     same.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     bits.append(parity(shingles))
                     keys.append(prefix(shingles, least, often, counts).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "same", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int32()), pa.array(np.asarray(fp, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "fp", "same", "bits", "keys"])
 
     return run
 
@@ -128,7 +161,7 @@ def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t.as_py(), width) for t in batch["text"].slice(lo, 256)]
+                sets = list(shingle_sets(batch["text"].slice(lo, 256), width))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["s"])
 
     return run
@@ -144,69 +177,76 @@ def _often(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s.view(np.uint64)[order], c[order].astype(np.int32)
 
 
-def _rest(least: float):
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _apart(least: float):
+    """Of n + m shingles of two alike sets, the share that only one of them has, at most."""
+    return (1 - least) / (1 + least)
+
+
+def _met(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (bucket, n, uid) -> the bucket's pairs of different roots, but for those that cannot be alike by
-        their sizes, or by what is left of both from this shingle on (if it is the first that they share, and if it is not,
-        they meet there as well)."""
+        """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots, but for those that cannot
+        be alike by their sizes, by what is left of both from this shingle on (if it is the first that they share, and if it
+        is not, they meet there as well), or by their parities."""
         was, held = None, []
 
-        def pairs(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-            uid, root, n, pos = part
+        def pairs(uid, root, n, pos, block, cross, bits) -> Iterator[pa.RecordBatch]:
             left = n - pos
             low = np.searchsorted(n, least * n - SLACK)
             found, waiting = [], 0
             for i in range(1, len(uid)):
                 j = slice(low[i], i)
                 ok = (root[j] != root[i]) & (np.minimum(left[j], left[i]) >= least / (1 + least) * (n[j] + n[i]) - SLACK)
-                if ok.any():
-                    other = uid[j][ok]
-                    found.append(np.stack([np.maximum(other, uid[i]), np.minimum(other, uid[i])]))
-                    waiting += len(other)
+                if cross:
+                    ok &= block[j] != block[i]
+                at = np.flatnonzero(ok) + low[i]
+                if len(at):
+                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= _apart(least) * (n[at] + n[i]) + SLACK]
+                if len(at):
+                    found.append(np.stack([np.maximum(uid[at], uid[i]), np.minimum(uid[at], uid[i])]))
+                    waiting += len(at)
                 if found and (waiting > 50_000 or i == len(uid) - 1):
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["x", "y"])
                     found, waiting = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["x", "y"])
+
+        def group() -> Iterator[pa.RecordBatch]:
+            numbers, bits = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
+            yield from pairs(*numbers, was[1] != was[2], bits)
 
         for batch in batches:
-            bucket = batch["bucket"].to_numpy()
-            values = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("uid", "root", "n", "pos")])
-            starts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else [0]
+            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi")])
+            values = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("uid", "root", "n", "pos", "block")])
+            bits = np.frombuffer(b"".join(b.as_buffer() for b in batch["bits"]), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else None
+            starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, keys.shape[1]] if keys.shape[1] else [0]
             for a, b in zip(starts, starts[1:]):
-                if bucket[a] != was and held:
-                    yield from pairs(np.concatenate(held, axis=1))
+                key = tuple(keys[:, a].tolist())
+                if key != was and held:
+                    yield from group()
                     held = []
-                was = bucket[a]
-                held.append(values[:, a:b])
+                was = key
+                held.append((values[:, a:b], bits[a:b]))
         if held:
-            yield from pairs(np.concatenate(held, axis=1))
+            yield from group()
 
     return run
 
 
-SLICE_PAIRS = 512  # pairs of one leader that a task compares
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.unique(np.fromiter(shingle_hashes(words, width), np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; two empty ones are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def _alike(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (y, slice, x), y's own text first (x null) -> the pairs whose similarity is `least` or more."""
         mine = None
         for batch in batches:
             left, right = [], []
-            for y, x, text in zip(batch["y"].to_pylist(), batch["x"].to_pylist(), batch["text"], strict=True):
-                shingles = shingle_set(text.as_py(), width)
+            for y, x, shingles in zip(batch["y"].to_pylist(), batch["x"].to_pylist(), shingle_sets(batch["text"], width), strict=True):
                 if x is None:
                     mine = shingles
                 elif jaccard(mine, shingles) >= least:
@@ -217,64 +257,86 @@ def _alike(width: int, least: float):
     return run
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs(x, y) whose texts are alike: first by a lower bound of how many shingles only one of them has, then their shingles.
+def _possible(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """The pairs(x, y) that may be alike by a lower bound of how many shingles only one of them has.
 
     Alike sets of n and m shingles differ in (1 - least) / (1 + least) * (n + m) of them at most, and their parities in no
-    more bits, so the bound drops no alike pair. A leader's text is sent once for each slice of its pairs, so a leader of
-    very many rows spreads over tasks, and a task holds the shingles of two texts at a time.
+    more bits, so the bound drops no alike pair.
     """
     side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
-    most = (F.col("x_n") + F.col("y_n")) * ((1 - least) / (1 + least)) + SLACK
-    close = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= most).select("x", "y"), "close")
-    many = close.groupBy("y").agg(F.ceil(F.count("*") / F.lit(SLICE_PAIRS)).cast("int").alias("slices"))
-    sliced = close.join(many, "y").select(F.col("x").alias("uid"), "x", "y", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"))
-    own = many.select(F.col("y").alias("uid"), F.lit(None).cast("long").alias("x"), "y", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    texts = rows.select("uid", "text").join(sliced.unionByName(own), "uid").select("y", "slice", "x", "text")
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= (F.col("x_n") + F.col("y_n")) * _apart(least) + SLACK).select("x", "y")
+
+
+def _verified(close: DataFrame, stored: Stored, width: int, least: float) -> DataFrame:
+    """The pairs(x, y) whose shingles are alike.
+
+    Only texts of these pairs are exchanged. The pairs of one y are dealt to SLICES tasks at most, with y's text once for
+    each, so a y of very many pairs spreads over tasks, and a task holds the shingles of two texts at a time.
+    """
+    dealt = close.select(F.col("x").alias("uid"), "x", "y", F.pmod(F.xxhash64("x"), F.lit(SLICES)).cast("int").alias("slice"))
+    own = dealt.select(F.col("y").alias("uid"), F.lit(None).cast("long").alias("x"), "y", "slice").distinct()
+    asked = cut(dealt.unionByName(own), "asked")
+    texts = stored.only(asked.select("uid").distinct(), "text").join(asked, "uid").select("y", "slice", "x", "text")
     ordered = texts.repartition("y", "slice").sortWithinPartitions("y", "slice", F.col("x").asc_nulls_first())
     return cut(ordered.mapInArrow(lean(_alike(width, least)), "x long, y long"), "alike")
 
 
-def similar(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
+def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> DataFrame:
     """One row for each row of docs(doc_id, text): uid, doc_id, kept. Documents whose sets of `width`-word shingles have
     a Jaccard similarity of `least` or more are linked, and of each component of links the smallest doc_id stays.
 
-    Prefix filter: in one order of all shingles, two alike sets share one of their first few, so a document's bucket keys
-    are these, and every linked pair shares a bucket, whatever the number and the size of the documents. Equal sets are
-    one node. Each row of a bucket is verified against its smallest row; then all pairs of a bucket that are in different
-    components by then are, so that a large group of copies costs no square, and no pair is left out. Pairs are verified
+    First the fingerprints of the sets go through multi-index hashing, links(), which finds the closest copies. No radius
+    that is worth looking up holds all pairs at `least`, so what fingerprints miss is found by a prefix filter: in one order of all
+    shingles, two alike sets share one of their first few, so a document's bucket keys are these, and every linked pair
+    shares a bucket, whatever the number and the size of the documents. Equal sets are one node. Each row is verified
+    against the smallest row it meets that may be alike; then all pairs of a bucket that are in different components by
+    then are, block by block, so that a large group of copies costs no square, and no pair is left out. Pairs are verified
     on the shingles themselves. The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as
     empty, and texts without words as alike; no rows give none.
     """
-    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    stored = docs if isinstance(docs, Stored) else Stored(docs)
+    rows = stored.pick("doc_id", "text").select("uid", F.col("doc_id").cast("long"), "text")
     often, counts = _often(rows, width)
-    marked = cut(rows.mapInArrow(lean(_signed(width, least, often, counts)), "uid long, doc_id long, n int, same binary, bits binary, keys array<long>"), "signed")
-    node = cut(marked.groupBy("same", "n").agg(F.min("uid").alias("node"), F.count("*").alias("rows")), "nodes")
-    equal = marked.select("uid", "same").join(node.where("rows > 1").select("same", "node"), "same").where("uid <> node").select(F.col("uid").alias("u"), F.col("node").alias("v"))
-    keyed = marked.join(node.select(F.col("node").alias("uid")), "uid").select("uid", "n", F.posexplode("keys").alias("pos", "bucket"))
-    of = Window.partitionBy("bucket")
-    shared = cut(keyed.withColumn("y", F.min("uid").over(of)).withColumn("most", F.max("uid").over(of)).where("y < most").drop("most"), "shared")
-    first = shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct()
+    signed = cut(rows.mapInArrow(lean(_signed(width, least, often, counts)), "uid long, doc_id long, n int, fp long, same binary, bits binary, keys array<long>"), "signed")
+    node = cut(signed.groupBy("same", "n").agg(F.min("uid").alias("node"), F.min("fp").alias("fp"), F.count("*").alias("rows")), "nodes")
+    equal = cut(signed.select("uid", "same").join(node.where("rows > 1").select("same", "node"), "same").where("uid <> node").select(F.col("uid").alias("u"), F.col("node").alias("v")), "equal")
+    marked = signed.select("uid", "n", "bits")
+
+    # Near fingerprints: the smallest row of each, linked as the fingerprints are; rows of one fingerprint with its smallest.
+    of_fp = cut(node.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("sets")), "heads")
+    near = links(of_fp.select("fp"))
+    head = lambda c: of_fp.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    across = near.join(head("u"), "u").join(head("v"), "v").select(F.greatest("u_head", "v_head").alias("x"), F.least("u_head", "v_head").alias("y"))
+    within = node.select("fp", F.col("node").alias("x")).join(of_fp.where("sets > 1").select("fp", F.col("head").alias("y")), "fp").where("x <> y").select("x", "y")
+
+    keyed = signed.select("uid", "n", F.posexplode("keys").alias("pos", "bucket")).join(equal.select(F.col("u").alias("uid")), "uid", "left_anti")
+    least_of = cut(keyed.groupBy("bucket").agg(F.min("uid").alias("y"), F.max("uid").alias("most")).where("y < most").drop("most"), "buckets")
+    shared = cut(keyed.join(least_of, "bucket"), "shared")
+    star = _possible(shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct(), marked, least).groupBy("x").agg(F.min("y").alias("y"))
+    first = cut(_possible(across.unionByName(within), marked, least).unionByName(star).distinct(), "first")
     edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    edges = cut(equal.unionByName(edge(_verified(first, marked, rows, width, least))), "edges")
+    edges = cut(equal.unionByName(edge(_verified(first, stored, width, least))), "edges")
+
     roots = components(edges)
-    apart = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
-    apart = apart.withColumn("least", F.min("root").over(of)).withColumn("most", F.max("root").over(of)).where("least < most")
-    met = apart.repartition("bucket").sortWithinPartitions("bucket", "n", "uid").mapInArrow(lean(_rest(least)), "x long, y long")
-    more = _verified(cut(met.distinct(), "met").join(first, ["x", "y"], "left_anti"), marked, rows, width, least)
-    roots = components(edges.unionByName(edge(more)))
-    rooted = cut(marked.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
+    rooted = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
+    mixed = cut(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
+    placed = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).join(marked.select("uid", "bits"), "uid")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", "bits").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
+    met = cut(ordered.mapInArrow(lean(_met(least)), "x long, y long").distinct().join(first, ["x", "y"], "left_anti"), "met")
+    roots = components(edges.unionByName(edge(_verified(met, stored, width, least))))
+    rooted = cut(signed.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
-    least_of = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")
-    return rooted.join(least_of, "root", "left").select("uid", "doc_id", F.expr("best is null or best.uid = uid").alias("kept"))
+    groups = cut(rooted.groupBy("root").agg(best, F.count("*").alias("n")).where("n > 1"), "least")
+    return rooted.join(groups, "root", "left").select("uid", "doc_id", F.expr("best is null or best.uid = uid").alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, least: float = LEAST) -> DataFrame:
-    """The rows of docs that similar() keeps, with all their columns. docs must be a stored table (it is read twice)."""
-    dropped = cut(similar(docs, width, least).where("not kept").select(F.col("uid").alias("__uid")), "near-copies")
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(dropped, "__uid", "left_anti").drop("__uid")
+    """The rows of docs that similar() keeps, with all their columns, whatever their names. Kept texts are not exchanged."""
+    stored = Stored(docs)
+    return stored.without(similar(stored, width, least).where("not kept").select("uid"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
