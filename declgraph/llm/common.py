@@ -209,7 +209,7 @@ def lean(run, keep: str | None = None):
     return wrapped
 
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:

@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import new_path, pick, smallest, table, worker_cache
+from declgraph.llm.common import new_path, pick, smallest, split_words, table, worker_cache
 
 END_ID = 2
 SAMPLE_DOCS = 1000  # documents that the dictionary is trained on, and the characters of each
@@ -24,16 +26,21 @@ MOST_PARTS = 100_000
 BLOCK_BYTES = 4 << 20  # frames of one block
 LEVEL = 3
 CACHED_WORDS = 400_000
-TAILS = b".,!?;:*#%&$"  # what may follow a letter and is a piece of its own
+TAILS = ".,!?;:*#%&$"  # what may follow a letter and is a piece of its own
 BLOCK_SCHEMA = "part int, first_doc long, last_doc long, n_docs long, rel_start long, n_tokens long, dict_sha256 string, index binary, payload binary"
 
 
+#: Byte-level BPE writes printable bytes as themselves and numbers the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = dict(zip([*_PRINTED, *(b for b in range(256) if b not in set(_PRINTED))], [*_PRINTED, *range(256, 512)], strict=False))
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, the library's own, remembered by word.
 
     The tokenizer never joins characters across ASCII white space, lower-cases, and starts a new piece at a mark of TAILS
-    after a letter, so ids of a text are those of its words put together. Texts that may hold a special token's
-    string go to the library whole.
+    after a letter, so ids of a text are those of its words put together. Arrow numbers the words of some megabytes of text,
+    each distinct one is looked up once, and NumPy gathers the ids. Texts that may hold a special token's string go to the library whole.
     """
 
     def __init__(self, tokenizer_json: bytes):
@@ -41,66 +48,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.words: dict[bytes, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.closes = np.asarray([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
-        plain: set[bytes] = set()
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Latin letters: one piece, which normalisation only turns to lower case."""
+        return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
+
+    def _learn(self, missing: list[str]) -> None:
+        known, tokenize, plain = self.words, self.tokenizer.model.tokenize, self._plain
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        ended: list[tuple[str, str, str]] = []
+        others: dict[str, None] = {}
         for word in missing:
             core = word.rstrip(TAILS)
-            if core and core != word and core[-1:].isalpha():
-                tails[word] = core, word[len(core) :]
-                plain.update(tails[word])
+            if core and core is not word and len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0250":
+                ended.append((word, core, word[len(core) :]))
+                if ended[-1][2] not in known:
+                    others[ended[-1][2]] = None
             else:
-                plain.add(word)
-        todo = [(w, w.decode()) for w in plain if w not in self.words]
-        # Words of letters alone are one piece each, whose last id closes it: one call for all of them.
-        letters = [(w, t) for w, t in todo if t.isalpha()]
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, "<u4") if letters else np.empty(0, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(letters) and (not len(ends) or ends[-1] == len(ids)):
-            data, at = ids.tobytes(), (4 * ends).tolist()
-            for (word, _), a, b in zip(letters, [0, *at], at, strict=False):
-                self.words[word] = data[a:b]
-            todo = [(w, t) for w, t in todo if not t.isalpha()]
-        for (word, _), found in zip(todo, self.tokenizer.encode_batch_fast([t for _, t in todo], add_special_tokens=False), strict=True):
-            self.words[word] = np.asarray(found.ids, "<u4").tobytes()
-        for word, (core, tail) in tails.items():
-            self.words[word] = self.words[core] + self.words[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        data = [t.encode() for t in texts]
-        split = [None if b"<|" in d else d.lower().split() for d in data]
-        missing = set().union(*(w for w in split if w)) - self.words.keys()
-        if missing:
-            self._learn(missing)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            try:
-                yield b"".join(map(self.words.__getitem__, words))
-            except KeyError:  # the cache was emptied for this group of texts
-                self._learn(set(words) - self.words.keys())
-                yield b"".join(map(self.words.__getitem__, words))
-
-
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about a million characters: what is held beside the batch stays small."""
-    held: list[str] = []
-    size = 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+                core = word
+            if core not in known:
+                if plain(core):
+                    shown = core if core.isascii() else core.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+                    ids = [t.id for t in tokenize(shown)]
+                    known[core] = pack(f"<{len(ids)}I", *ids)
+                else:
+                    others[core] = None
+        for word, found in zip(others, self.tokenizer.encode_batch_fast(list(others), add_special_tokens=False), strict=True):
+            known[word] = np.asarray(found.ids, "<u4").tobytes()
+        for word, core, tail in ended:
+            known[word] = known[core] + known[tail]
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        for lo, hi, offsets, codes, words in split_words(texts, lower=True):
+            known = words.to_pylist()
+            ids = list(map(self.words.get, known))
+            missing = [w for w, x in zip(known, ids, strict=True) if x is None]
+            if missing:
+                self._learn(missing)
+                ids = [self.words[w] if x is None else x for w, x in zip(known, ids, strict=True)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            n = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            data = pool[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+            cuts = (4 * ends[offsets]).tolist()
+            special = pc.match_substring(texts.slice(lo, hi - lo).fill_null(""), "<|").to_pylist()
+            for i in range(hi - lo):
+                if special[i]:
+                    yield np.asarray(self.tokenizer.encode(texts[lo + i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield data[cuts[i] : cuts[i + 1]]
 
 
 def _frames(tokenizer, dictionary: bytes, bounds: np.ndarray, end_id: int):
@@ -110,17 +111,19 @@ def _frames(tokenizer, dictionary: bytes, bounds: np.ndarray, end_id: int):
         if key not in cache:
             cache[key] = Encoder(tokenizer.value)
         encoder, end = cache[key], np.asarray([end_id], "<u4").tobytes()
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary), write_checksum=True, write_content_size=True)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary), write_checksum=True, write_content_size=True)
         for batch in batches:
             ids = batch["doc_id"]
             known = ids.fill_null(-(1 << 63)).to_numpy()
             parts = np.searchsorted(bounds, known, "left").astype(np.int32)
-            at = 0
-            for group in _groups([t or "" for t in batch["text"].to_pylist()]):
-                raw = [x + end for x in encoder.encode(group)]
-                n = len(raw)
-                yield pa.RecordBatch.from_arrays([ids[at : at + n], batch["uid"][at : at + n], pa.array(parts[at : at + n]), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["doc_id", "uid", "part", "n_tokens", "frame"])
-                at += n
+            at, held, counts = 0, [], []
+            for i, x in enumerate(encoder.encode(batch["text"])):
+                counts.append(len(x) // 4 + 1)
+                held.append(squeeze.compress(x + end))
+                if len(held) == 512 or i == batch.num_rows - 1:
+                    n = len(held)
+                    yield pa.RecordBatch.from_arrays([ids[at : at + n], batch["uid"][at : at + n], pa.array(parts[at : at + n]), pa.array(counts, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "uid", "part", "n_tokens", "frame"])
+                    at, held, counts = at + n, [], []
 
     return run
 
