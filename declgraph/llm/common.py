@@ -33,11 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
+BATCH_ROWS = 1000  # rows that a Python worker gets at once: texts are long
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and lost executors cost nothing before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    was = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(was) if int(was) > 0 else BATCH_ROWS)))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

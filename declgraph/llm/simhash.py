@@ -82,12 +82,13 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     fps = cut(fps.select("fp"), "distinct-fps")
     entries = fps.select("fp", F.posexplode(F.array(*(_segment(F.col("fp"), s) for s in (0, 1)))).alias("seg", "value"))
     full = cut(entries.groupBy("seg", "value").count().where(F.col("count") > crowded).select("seg", "value"), "crowded")
-    ball = lambda s: F.expr(f"transform(sequence(-1, {SEGMENT - 1}), i -> if(i < 0, s{s}, s{s} ^ shiftleft(1L, i)))")
+    # Of two values one bit apart, the one without the bit looks up the other.
+    ball = lambda s: F.expr(f"filter(transform(sequence(-1, {SEGMENT - 1}), i -> if(i < 0, s{s}, s{s} | shiftleft(1L, i))), (x, i) -> i = 0 or x <> s{s})")
     both = fps.select("fp", *(_segment(F.col("fp"), s).alias(f"s{s}") for s in (0, 1)))
     probes = both.select("fp", ball(0).alias("b0"), ball(1).alias("b1")).select("fp", F.posexplode(F.array("b0", "b1")).alias("seg", "values")).select("fp", "seg", F.explode("values").alias("value"))
     light = entries.join(full, ["seg", "value"], "left_anti").withColumnRenamed("fp", "v")
     distance = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    near = probes.withColumnRenamed("fp", "u").join(light, ["seg", "value"]).where((F.col("u") > F.col("v")) & (distance <= RADIUS)).select("u", "v")
+    near = probes.withColumnRenamed("fp", "u").join(light, ["seg", "value"]).where((F.col("u") != F.col("v")) & (distance <= RADIUS)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     inside = cut(probes.join(full, ["seg", "value"], "left_semi").select("fp").distinct(), "inside-crowded")
     whole = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     points = inside.select("fp", F.explode(whole).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
@@ -257,6 +258,49 @@ def _alike(width: int, least: float):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, uid, n, pos) sorted by (bucket, uid) -> those of buckets with several rows, with the bucket's smallest uid y.
+
+    A bucket may go on in the next partition. So the rows of a partition's first bucket, and its last row if that is
+    alone in its bucket here, have edge 1: whether they are shared, and with whom, is not known yet; edge 2 only reports
+    the smallest uid of the last bucket.
+    """
+    first = None
+    rest = None  # the last bucket so far: bucket, y, and its row if there is one only
+
+    def out(rows: np.ndarray, y: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32)), pa.array(y), pa.array(edge.astype(np.int32))], names=["bucket", "uid", "n", "pos", "y", "edge"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "uid", "n", "pos")])
+        if first is None:
+            first = rows[0, 0]
+        goes_on = rest is not None and rest[0] == rows[0, 0]
+        if rest is not None and rest[2] is not None:
+            if goes_on or rest[0] == first:
+                rows = np.concatenate([rest[2], rows], axis=1)
+        starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        sizes = np.diff(np.r_[starts, rows.shape[1]])
+        y = np.repeat(rows[1, starts], sizes)
+        known = np.repeat(sizes > 1, sizes)
+        if goes_on and rest[2] is None:
+            y[: sizes[0]], known[: sizes[0]] = rest[1], True
+        edge = rows[0] == first
+        last = rows[0] == rows[0, -1]
+        held = last & ~known  # one row at most, not known to be shared
+        show = (known | edge) & ~held
+        if show.any():
+            yield out(rows[:, show], y[show], edge[show])
+        rest = rows[0, -1], y[-1], rows[:, held] if held.any() else None
+    if rest is not None:
+        if rest[2] is not None:
+            yield out(rest[2], rest[2][1], np.ones(1, np.int64))
+        else:
+            yield out(np.asarray([[rest[0]], [rest[1]], [0], [0]], np.int64), np.asarray([rest[1]]), np.full(1, 2))
+
+
 def _possible(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     """The pairs(x, y) that may be alike by a lower bound of how many shingles only one of them has.
 
@@ -311,9 +355,13 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     across = near.join(head("u"), "u").join(head("v"), "v").select(F.greatest("u_head", "v_head").alias("x"), F.least("u_head", "v_head").alias("y"))
     within = node.select("fp", F.col("node").alias("x")).join(of_fp.where("sets > 1").select("fp", F.col("head").alias("y")), "fp").where("x <> y").select("x", "y")
 
-    keyed = signed.select("uid", "n", F.posexplode("keys").alias("pos", "bucket")).join(equal.select(F.col("u").alias("uid")), "uid", "left_anti")
-    least_of = cut(keyed.groupBy("bucket").agg(F.min("uid").alias("y"), F.max("uid").alias("most")).where("y < most").drop("most"), "buckets")
-    shared = cut(keyed.join(least_of, "bucket"), "shared")
+    keyed = signed.join(equal.select(F.col("u").alias("uid")), "uid", "left_anti").select("uid", "n", F.posexplode("keys").alias("pos", "bucket"))
+    ordered = keyed.select("bucket", "uid", "n", "pos").repartitionByRange("bucket", "uid").sortWithinPartitions("bucket", "uid")
+    runs = cut(ordered.mapInArrow(_shared, "bucket long, uid long, n int, pos int, y long, edge int"), "shared")
+    ends = runs.where("edge > 0").groupBy("bucket").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most").select("bucket", "least")
+    # Buckets at the ends of partitions, two each at most: the bound that allows the broadcast.
+    at_ends = runs.where("edge = 1").join(F.broadcast(ends), "bucket").select("bucket", "uid", "n", "pos", F.col("least").alias("y"))
+    shared = runs.where("edge = 0").select("bucket", "uid", "n", "pos", "y").unionByName(at_ends)
     star = _possible(shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct(), marked, least).groupBy("x").agg(F.min("y").alias("y"))
     first = cut(_possible(across.unionByName(within), marked, least).unionByName(star).distinct(), "first")
     edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
