@@ -12,58 +12,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from declgraph.llm.common import cut, new_path, pick, table, worker_cache
+from declgraph.llm.common import cut, delete, discard, hashed_words, new_path, pick, rolled, table
 
 WINDOW = 20
 GRAM = 8
-BATCHES = 2  # of one full load
+BATCHES = 3  # of one full load: the third finds FAN_IN runs, which are compacted before it
 FAN_IN = 2  # runs that the index keeps before it compacts them
 BUCKETS = 64
-CACHED_WORDS = 500_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_EMPTY = np.empty(0, np.uint64)
-
-
-class _Words(dict):
-    """XXH3 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    cache = worker_cache("substrings")
-    memo = cache.get("words")
-    if memo is None:
-        memo = cache["words"] = _Words()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-def _rolled(h: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
-    """A mixed polynomial hash of each run of `width` words."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return _EMPTY
-    out = h[:n].copy()
-    for i in range(1, width):
-        out *= factor
-        out += h[i : i + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out
 
 
 def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each window its fingerprint: the smallest hash of a run of `gram` words within it. Equal windows have equal
     ones, and neighbouring windows mostly share theirs, so an index of them is a fraction of one of all windows."""
-    g = _rolled(h, gram, _M1)
+    g = rolled(h, gram)
     left = window - gram + 1  # runs in a window; the smallest of them by doubling
     if len(g) < left:
-        return _EMPTY
+        return g[:0]
     done = 1
     while done < left:
         step = min(done, left - done)
@@ -72,27 +36,25 @@ def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     return g
 
 
-def _windows(h: np.ndarray, window: int) -> np.ndarray:
-    w = np.empty(max(0, len(h) - window + 1), [("a", np.uint64), ("b", np.uint64)])
-    w["a"], w["b"] = _rolled(h, window, _M1), _rolled(h, window, _M2)
-    return w
-
-
-def _first_local(w: np.ndarray) -> np.ndarray:
-    """For each window the first start of its word sequence in the document."""
-    if not len(w):
-        return np.empty(0, np.int64)
-    order = np.argsort(w["a"], kind="stable")  # equal windows stay in order of start
-    a = w["a"][order]
-    new = np.r_[True, a[1:] != a[:-1]]
-    if new.all():
-        return np.arange(len(w))
-    b = w["b"][order]
-    if (b[1:] != b[:-1])[~new[1:]].any():  # one hash, two windows: both hashes count
-        order = np.lexsort((w["b"], w["a"]))
-        s = w[order]
-        new = np.r_[True, (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])]
-    first = np.empty(len(w), np.int64)
+def _documents(texts: pa.Array, window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its number of words, and of each window the two halves of a hash and the fingerprint. The halves come
+    from independent halves of the words' own 128-bit hashes, so they are equal for equal sequences of words only."""
+    for lo, hi, offsets, h, k in hashed_words(texts):
+        every = rolled(h, window), rolled(k, window), anchors(h, window, gram)
+        for i in range(hi - lo):
+            a, n = offsets[i], offsets[i + 1] - offsets[i]
+            yield int(n), *(x[a : a + max(0, n - window + 1)] for x in every)
+
+
+def _first_local(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each window (a, b) the first start of its word sequence in the document."""
+    s = np.sort(a)
+    if not (s[1:] == s[:-1]).any():
+        return np.arange(len(a))
+    order = np.lexsort((b, a))  # stable: equal windows stay in order of start
+    x, y = a[order], b[order]
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    first = np.empty(len(a), np.int64)
     first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     return first
 
@@ -113,14 +75,13 @@ def _marks(window: int, gram: int):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out: list[tuple] = []
-                for text in part["text"]:
+                for text, (n, wa, wb, marks) in zip(part["text"], _documents(part["text"], window, gram), strict=True):
+                    first = _first_local(wa, wb)
                     words = (text.as_py() or "").encode().split()
-                    h = _hashes(words)
-                    first = _first_local(_windows(h, window))
                     removed, sha = _outcome(words, np.flatnonzero(first != np.arange(len(first))), window)
-                    whole = xxhash.xxh3_128_digest(b" ".join(words))
-                    a, b = np.frombuffer(whole, "<i8")
-                    out.append((len(words), removed, sha, int(a), int(b), np.unique(anchors(h, window, gram)).view(np.int64)))
+                    a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8")
+                    marks = np.unique(marks[np.r_[True, marks[1:] != marks[:-1]]]) if len(marks) else marks
+                    out.append((n, removed, sha, int(a), int(b), marks.view(np.int64)))
                 n, removed, sha, a, b, marks = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["uid", "doc_id", "n_words", "removed", "sha", "wa", "wb", "anchors"])
 
@@ -132,13 +93,13 @@ def _governed(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                h = _hashes(batch["text"][i].as_py().encode().split())
-                w = _windows(h, window)
-                at = np.flatnonzero(np.isin(anchors(h, window, gram), batch["shared"][i].values.to_numpy().view(np.uint64)) & (_first_local(w) == np.arange(len(w))))
+            for i, (_, wa, wb, marks) in enumerate(_documents(batch["text"], window, gram)):
+                shared = np.sort(batch["shared"][i].values.to_numpy().view(np.uint64))
+                hit = shared[np.minimum(np.searchsorted(shared, marks), len(shared) - 1)] == marks if len(shared) else np.zeros(len(marks), bool)
+                at = np.flatnonzero(hit & (_first_local(wa, wb) == np.arange(len(wa))))
                 if len(at):
                     n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(w["a"][at].view(np.int64)), pa.array(w["b"][at].view(np.int64)), pa.repeat(batch["place"][i], n), pa.array(at.astype(np.int32))], names=["a", "b", "place", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(wa[at].view(np.int64)), pa.array(wb[at].view(np.int64)), pa.repeat(batch["place"][i], n), pa.array(at.astype(np.int32))], names=["a", "b", "place", "start"])
 
     return run
 
@@ -174,9 +135,9 @@ def _finish(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts in zip(batch["text"], batch["starts"], strict=True):
-                words = text.as_py().encode().split()
-                first = _first_local(_windows(_hashes(words), window))
+            for text, starts, (_, wa, wb, _) in zip(batch["text"], batch["starts"], _documents(batch["text"], window, window), strict=True):
+                words = (text.as_py() or "").encode().split()
+                first = _first_local(wa, wb)
                 gone = np.zeros(len(first), bool)
                 gone[starts.values.to_numpy()] = True
                 out.append(_outcome(words, np.flatnonzero(gone[first] | (first != np.arange(len(first)))), window))
@@ -191,8 +152,8 @@ class FingerprintIndex:
 
     add(docs) takes the next batch, whose documents all count as later than those before. It writes the batch's run,
     merge-joins it with the older runs and itself on the fingerprint (runs share buckets and order, so nothing is
-    exchanged), and verifies what is shared against the texts of both sides: the 128-bit hashes of the windows
-    concerned, by whole sequences of `window` words. More than FAN_IN runs are compacted to one first.
+    exchanged), and verifies what is shared against the texts of both sides: the windows concerned, by a 128-bit hash
+    of their whole sequences of `window` words. FAN_IN runs and more are compacted to one first.
 
     Texts with equal word sequences are one class, kept in the index as its first document: the others have their
     windows earlier there as a whole, and no large group of copies meets in any join.
@@ -226,9 +187,9 @@ class FingerprintIndex:
                 self._delete(name)
 
     def _delete(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"])
+        path = self.spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()["data_type"]
         self.spark.sql(f"drop table {name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, path)
 
     def close(self) -> None:
         for name in self.tables:
@@ -273,6 +234,7 @@ class FingerprintIndex:
         here = slim.agg(F.min("place").alias("m")).first()["m"]
         gone = later.where("not edge").select("place", "start").unionByName(rest).where(F.col("place") >= (here or 0))
         starts = cut(gone.groupBy("place").agg(F.collect_list("start").alias("starts")), "starts")
+        discard(windows, later, by_class, concerned)
         done = cut(texts.select("place", "text").join(starts, "place").mapInArrow(_finish(window), "place long, gone long, gone_sha string"), "done")
         whole = classes.select(F.col("wa").alias("ca"), F.col("wb").alias("cb"), F.col("place").alias("first"))
         out = slim.join(whole, (F.col("wa") == F.col("ca")) & (F.col("wb") == F.col("cb"))).join(done, "place", "left")
