@@ -133,9 +133,13 @@ class Stored:
         order = self.spark.createDataFrame([(f, i) for i, f in enumerate(self.files)], "__file string, __ord long")
         return rows.join(F.broadcast(order), "__file").withColumn("__uid", F.shiftleft("__ord", ROW_BITS) + F.col("__row"))
 
+    def rows(self) -> DataFrame:
+        """All rows: the table's columns as __c0.., and __uid."""
+        return self._rows(0, len(self.files))
+
     def pick(self, *names: str) -> DataFrame:
         """uid and exactly these columns."""
-        rows = self._rows(0, len(self.files))
+        rows = self.rows()
         return rows.select(F.col("__uid").alias("uid"), *(F.col(f"__c{self.columns.index(n)}").alias(n) for n in names))
 
     def flagged(self, flags: DataFrame, bits: int = 1, most_bytes: int | None = None) -> DataFrame:
