@@ -37,12 +37,12 @@ BATCH_ROWS = 1000  # rows that a Python worker gets at once: texts are long
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and lost executors cost nothing before it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     was = spark.conf.get(_BATCH)
     try:
-        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(was) if int(was) > 0 else BATCH_ROWS)))
+        spark.conf.set(_BATCH, str(min(batch_rows, int(was) if int(was) > 0 else batch_rows)))
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, was)

@@ -124,8 +124,19 @@ def prefix(shingles: np.ndarray, least: float, often: np.ndarray, counts: np.nda
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of shingles fall on it. Two sets' bits differ in no more places than the sets do in members."""
-    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    """Bit i: whether an odd number of shingles fall on it. Two sets' bits differ in no more places than the sets do in
+    members. Large sets have more bits, so that they do not fill them; halves laid over each other give the shorter form."""
+    bits = max(PARITY_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(u) != len(v):
+        if len(u) < len(v):
+            u, v = v, u
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -191,52 +202,46 @@ def _apart(least: float):
     return (1 - least) / (1 + least)
 
 
+def _may_be_alike(n, m, pos_n, pos_m, least: float):
+    """By their sizes, and by what is left of both from a shared shingle on, if it is the first that they share (if it is not,
+    they meet there as well). Takes arrays or columns."""
+    left, both = least / (1 + least), n + m
+    return (n >= least * m - SLACK) & (m >= least * n - SLACK) & (n - pos_n >= left * both - SLACK) & (m - pos_m >= left * both - SLACK)
+
+
 def _met(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots, but for those that cannot
-        be alike by their sizes, by what is left of both from this shingle on (if it is the first that they share, and if it
-        is not, they meet there as well), or by their parities."""
-        was, held = None, []
-
-        def pairs(uid, root, n, pos, block, cross, bits) -> Iterator[pa.RecordBatch]:
-            left = n - pos
-            low = np.searchsorted(n, least * n - SLACK)
-            found, waiting = [], 0
-            for i in range(1, len(uid)):
-                j = slice(low[i], i)
-                ok = (root[j] != root[i]) & (np.minimum(left[j], left[i]) >= least / (1 + least) * (n[j] + n[i]) - SLACK)
-                if cross:
-                    ok &= block[j] != block[i]
-                at = np.flatnonzero(ok) + low[i]
-                if len(at):
-                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= _apart(least) * (n[at] + n[i]) + SLACK]
-                if len(at):
-                    found.append(np.stack([np.maximum(uid[at], uid[i]), np.minimum(uid[at], uid[i])]))
-                    waiting += len(at)
-                if found and (waiting > 50_000 or i == len(uid) - 1):
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["x", "y"])
-                    found, waiting = [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["x", "y"])
-
-        def group() -> Iterator[pa.RecordBatch]:
-            numbers, bits = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-            yield from pairs(*numbers, was[1] != was[2], bits)
+        """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots that may be alike."""
+        held = None  # the last group so far
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket, lo, hi, uid, root, n, pos, block = rows
+            new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)]
+            rank = np.arange(len(uid)) - np.maximum.accumulate(np.where(new, np.arange(len(uid)), 0))
+            at, k = np.flatnonzero(rank >= 1), 1
+            while len(at):  # each row with the one k before it in its group, for all rows at once
+                to = at - k
+                # Sizes grow within a group: those further back are smaller still, so a row that finds one too small is done.
+                fits = n[to] >= least * n[at] - SLACK
+                at, to = at[fits], to[fits]
+                ok = (root[at] != root[to]) & ((lo[at] == hi[at]) | (block[at] != block[to])) & _may_be_alike(n[at], n[to], pos[at], pos[to], least)
+                if ok.any():
+                    x, y = uid[at[ok]], uid[to[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
+                k += 1
+                at = at[rank[at] >= k]
 
         for batch in batches:
-            keys = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi")])
-            values = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("uid", "root", "n", "pos", "block")])
-            bits = np.frombuffer(b"".join(b.as_buffer() for b in batch["bits"]), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else None
-            starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, keys.shape[1]] if keys.shape[1] else [0]
-            for a, b in zip(starts, starts[1:]):
-                key = tuple(keys[:, a].tolist())
-                if key != was and held:
-                    yield from group()
-                    held = []
-                was = key
-                held.append((values[:, a:b], bits[a:b]))
-        if held:
-            yield from group()
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi", "uid", "root", "n", "pos", "block")])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            last = (rows[:3] == rows[:3, -1:]).all(0)
+            if not last.all():
+                yield from pairs(rows[:, ~last])
+            held = rows[:, last]
+        if held is not None:
+            yield from pairs(held)
 
     return run
 
@@ -259,7 +264,8 @@ def _alike(width: int, least: float):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, uid, n, pos) sorted by (bucket, uid) -> those of buckets with several rows, with the bucket's smallest uid y.
+    """Rows (bucket, uid, n, pos) sorted by (bucket, uid) -> those of buckets with several rows, with the bucket's row of the
+    smallest uid: y, y_n, y_pos.
 
     A bucket may go on in the next partition. So the rows of a partition's first bucket, and its last row if that is
     alone in its bucket here, have edge 1: whether they are shared, and with whom, is not known yet; edge 2 only reports
@@ -269,7 +275,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None  # the last bucket so far: bucket, y, and its row if there is one only
 
     def out(rows: np.ndarray, y: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32)), pa.array(y), pa.array(edge.astype(np.int32))], names=["bucket", "uid", "n", "pos", "y", "edge"])
+        every = [*rows, *y, edge]
+        return pa.RecordBatch.from_arrays([pa.array(c if i in (0, 1, 4) else c.astype(np.int32)) for i, c in enumerate(every)], names=["bucket", "uid", "n", "pos", "y", "y_n", "y_pos", "edge"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -283,22 +290,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = np.concatenate([rest[2], rows], axis=1)
         starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
         sizes = np.diff(np.r_[starts, rows.shape[1]])
-        y = np.repeat(rows[1, starts], sizes)
+        y = np.repeat(rows[1:, starts], sizes, axis=1)
         known = np.repeat(sizes > 1, sizes)
         if goes_on and rest[2] is None:
-            y[: sizes[0]], known[: sizes[0]] = rest[1], True
+            y[:, : sizes[0]], known[: sizes[0]] = rest[1], True
         edge = rows[0] == first
         last = rows[0] == rows[0, -1]
         held = last & ~known  # one row at most, not known to be shared
         show = (known | edge) & ~held
         if show.any():
-            yield out(rows[:, show], y[show], edge[show])
-        rest = rows[0, -1], y[-1], rows[:, held] if held.any() else None
+            yield out(rows[:, show], y[:, show], edge[show])
+        rest = rows[0, -1], y[:, -1:], rows[:, held] if held.any() else None
     if rest is not None:
         if rest[2] is not None:
-            yield out(rest[2], rest[2][1], np.ones(1, np.int64))
+            yield out(rest[2], rest[2][1:], np.ones(1, np.int64))
         else:
-            yield out(np.asarray([[rest[0]], [rest[1]], [0], [0]], np.int64), np.asarray([rest[1]]), np.full(1, 2))
+            yield out(np.concatenate([np.full((1, 1), rest[0]), rest[1]]), rest[1], np.full(1, 2))
+
+
+def _near(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch["x_n"].to_numpy().astype(np.int64) + batch["y_n"].to_numpy()) * _apart(least) + SLACK
+            ok = np.fromiter((parity_distance(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch["x_bits"], batch["y_bits"], most, strict=True)), bool, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch["x"].filter(pa.array(ok)), batch["y"].filter(pa.array(ok))], names=["x", "y"])
+
+    return run
 
 
 def _possible(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
@@ -308,9 +325,7 @@ def _possible(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     more bits, so the bound drops no alike pair.
     """
     side = lambda c: marked.select(F.col("uid").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("x_bits", i).bitwiseXOR(word("y_bits", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(distance <= (F.col("x_n") + F.col("y_n")) * _apart(least) + SLACK).select("x", "y")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_n", "y_n", "x_bits", "y_bits").mapInArrow(lean(_near(least)), "x long, y long")
 
 
 def _verified(close: DataFrame, stored: Stored, width: int, least: float) -> DataFrame:
@@ -324,7 +339,7 @@ def _verified(close: DataFrame, stored: Stored, width: int, least: float) -> Dat
     asked = cut(dealt.unionByName(own), "asked")
     texts = stored.only(asked.select("uid").distinct(), "text").join(asked, "uid").select("y", "slice", "x", "text")
     ordered = texts.repartition("y", "slice").sortWithinPartitions("y", "slice", F.col("x").asc_nulls_first())
-    return cut(ordered.mapInArrow(lean(_alike(width, least)), "x long, y long"), "alike")
+    return cut(ordered.mapInArrow(lean(_alike(width, least)), "x long, y long"), "alike", batch_rows=64)
 
 
 def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> DataFrame:
@@ -357,12 +372,13 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
 
     keyed = signed.join(equal.select(F.col("u").alias("uid")), "uid", "left_anti").select("uid", "n", F.posexplode("keys").alias("pos", "bucket"))
     ordered = keyed.select("bucket", "uid", "n", "pos").repartitionByRange("bucket", "uid").sortWithinPartitions("bucket", "uid")
-    runs = cut(ordered.mapInArrow(_shared, "bucket long, uid long, n int, pos int, y long, edge int"), "shared")
-    ends = runs.where("edge > 0").groupBy("bucket").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most").select("bucket", "least")
+    runs = cut(ordered.mapInArrow(_shared, "bucket long, uid long, n int, pos int, y long, y_n int, y_pos int, edge int"), "shared")
+    ends = runs.where("edge > 0").groupBy("bucket").agg(F.min(F.struct("uid", "n", "pos")).alias("least"), F.max("uid").alias("most")).where("least.uid < most").select("bucket", "least")
     # Buckets at the ends of partitions, two each at most: the bound that allows the broadcast.
-    at_ends = runs.where("edge = 1").join(F.broadcast(ends), "bucket").select("bucket", "uid", "n", "pos", F.col("least").alias("y"))
-    shared = runs.where("edge = 0").select("bucket", "uid", "n", "pos", "y").unionByName(at_ends)
-    star = _possible(shared.where("uid <> y").select(F.col("uid").alias("x"), "y").distinct(), marked, least).groupBy("x").agg(F.min("y").alias("y"))
+    at_ends = runs.where("edge = 1").join(F.broadcast(ends), "bucket").select("bucket", "uid", "n", "pos", F.col("least.uid").alias("y"), F.col("least.n").alias("y_n"), F.col("least.pos").alias("y_pos"))
+    shared = runs.where("edge = 0").drop("edge").unionByName(at_ends)
+    star = shared.where((F.col("uid") != F.col("y")) & _may_be_alike(F.col("n"), F.col("y_n"), F.col("pos"), F.col("y_pos"), least)).select(F.col("uid").alias("x"), "y").distinct()
+    star = _possible(star, marked, least).groupBy("x").agg(F.min("y").alias("y"))
     first = cut(_possible(across.unionByName(within), marked, least).unionByName(star).distinct(), "first")
     edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
     edges = cut(equal.unionByName(edge(_verified(first, stored, width, least))), "edges")
@@ -370,10 +386,11 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     roots = components(edges)
     rooted = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
     mixed = cut(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
-    placed = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).join(marked.select("uid", "bits"), "uid")
+    placed = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", "bits").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
-    met = cut(ordered.mapInArrow(lean(_met(least)), "x long, y long").distinct().join(first, ["x", "y"], "left_anti"), "met")
+    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
+    met = ordered.mapInArrow(lean(_met(least)), "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
+    met = cut(_possible(met, marked, least), "met")
     roots = components(edges.unionByName(edge(_verified(met, stored, width, least))))
     rooted = cut(signed.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("best")
