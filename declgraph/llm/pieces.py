@@ -17,7 +17,7 @@ from declgraph.llm.common import cut, lean, pick, table, worker_cache
 GIANT_CHARS = 65536  # longer texts are split
 CHUNK_CHARS = 16384
 GROUP = 64  # chunks whose matrices are combined first
-CACHED_UNITS = 250_000
+CACHED_UNITS = 150_000
 SPACE = "▁"
 NONE = -np.inf
 
@@ -215,14 +215,15 @@ def _coder(model) -> Coder:
     return cache[key]
 
 
-def _encode(model):
+def _encode(model, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array([coder.encode(t.as_py() or "") for t in part["text"]], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], part["sha"], ids], names=["uid", "doc_id", "sha", "ids"])
+                ids = [coder.encode(t.as_py() or "") for t in part["text"]]
+                more = [pa.array([coder.decode(x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], part["sha"], pa.array(ids, pa.binary()), *more], names=["uid", "doc_id", "sha", "ids", "decoded"][: 4 + decoded])
 
     return run
 
@@ -291,21 +292,21 @@ def _traces(model):
     return run
 
 
-def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
     """docs(doc_id, text) -> uid, doc_id, sha (sha256 of the text), ids (uint32 little-endian): the library's ids.
 
     Texts over `giant` characters are split into chunks at any place. Each chunk gives a matrix from the states at its
     start to those at its end (pieces over the boundary); the matrices of GROUP chunks are combined to one, a document's
     groups are walked once, then each group's chunks, and every chunk is traced on its own between its two states.
     Other texts are one chunk, which has nothing to combine. Null texts are empty and have no ids; other columns are
-    not looked at; no rows give none.
+    not looked at; no rows give none. With `decoded`, the decoded text follows, by the worker that holds the ids anyway.
     """
     spark = docs.sparkSession
     longest = Coder(model).longest
     chunk = max(chunk, longest)
     shared = spark.sparkContext.broadcast(model)
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    short = rows.where(F.length("text") <= giant).mapInArrow(lean(_encode(shared), "pieces"), "uid long, doc_id long, sha string, ids binary")
+    short = rows.where(F.length("text") <= giant).mapInArrow(lean(_encode(shared, decoded), "pieces"), "uid long, doc_id long, sha string, ids binary" + ", decoded string" * decoded)
     chunks = rows.where(F.length("text") > giant).mapInArrow(lean(_split(longest, chunk), "pieces"), "uid long, doc_id long, sha string, ix long, text string, a long, b long")
     chunks = cut(chunks, "chunks")
     # A few chunks to a task: they are small to send and long to work on.
@@ -318,7 +319,7 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT_CHARS, chunk: int =
     # A document's ids come together in the row that holds them.
     whole = traced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.array_sort(F.collect_list(F.struct("ix", "ids"))).alias("parts"))
     joined = whole.select("uid", "doc_id", "sha", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    return short.unionByName(joined)
+    return short.unionByName(decode(joined, model) if decoded else joined)
 
 
 def _decode(model):
@@ -358,9 +359,10 @@ def model_bytes() -> bytes:
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip of every document, encoded and decoded."""
     model = model_bytes()
-    both = decode(encode(docs, model), model)
+    both = encode(docs, model, decoded=True)
     sha = F.sha2("decoded", 256)
-    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), sha.alias("decoded_sha256"), (sha == F.col("sha")).alias("round_trip"))
+    found = both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), sha.alias("decoded_sha256"), (sha == F.col("sha")).alias("round_trip"))
+    return cut(found, "round-trip")  # workers get small batches there
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
