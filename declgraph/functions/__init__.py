@@ -1 +1,7 @@
+"""Column functions and pure helpers, shipped to executors by value."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
