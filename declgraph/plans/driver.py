@@ -54,16 +54,16 @@ def implements_modes(spark, d):
     return both.select("o_orderkey", F.concat(F.when(F.col("by_value"), "").otherwise("*"), F.col("l_suppkey").cast("string")).alias("name"))
 
 
-@query("""with have as (select distinct n_regionkey, p_brand from supplier join nation on n_nationkey = s_nationkey join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey where l_quantity >= 50),
-need as (select distinct c_nationkey, p_brand from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where l_quantity >= 50 and o_orderpriority = '1-URGENT')
-select c_nationkey, h.n_regionkey from need n join have h using (p_brand) group by 1, 2 having count(*) = (select count(*) from need n2 where n2.c_nationkey = n.c_nationkey)""")
+@query("""with have as (select distinct n_regionkey, p_brand, p_size % 4 as s from supplier join nation on n_nationkey = s_nationkey join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey where l_quantity >= 50),
+need as (select distinct c_nationkey, p_brand, p_size % 4 as s from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where l_quantity >= 50 and o_orderpriority = '1-URGENT')
+select c_nationkey, h.n_regionkey from need n join have h using (p_brand, s) group by 1, 2 having count(*) = (select count(*) from need n2 where n2.c_nationkey = n.c_nationkey)""")
 def nation_division(spark, d):
-    """Regions that offer in bulk every brand that a nation orders urgently in bulk."""
-    bulk = _t(spark, d, "lineitem").where("l_quantity >= 50").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", "p_brand")
+    """Regions that offer in bulk every brand, in the size class, that a nation orders urgently in bulk."""
+    bulk = _t(spark, d, "lineitem").where("l_quantity >= 50").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", "p_brand", (F.col("p_size") % 4).alias("s"))
     homes = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     urgent = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     req = bulk.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
-    return K.divide(req, bulk.join(homes, F.col("l_suppkey") == F.col("s_suppkey")), "c_nationkey", "n_regionkey", ["p_brand"]).select("c_nationkey", "n_regionkey")
+    return K.divide(req, bulk.join(homes, F.col("l_suppkey") == F.col("s_suppkey")), "c_nationkey", "n_regionkey", ["p_brand", "s"]).select("c_nationkey", "n_regionkey")
 
 
 @query(f"""with {_NEED}, p as ({_DIVIDED.format('')}), l as (select l_suppkey, min(l_orderkey * 10 + l_linenumber) as location from lineitem group by 1)
