@@ -33,19 +33,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
-BATCH_ROWS = 1000  # rows that a Python worker gets at once: texts are long
+BATCH_ROWS = 1000  # rows that a Python worker gets, and that a scan holds, at once: texts are long
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SCAN = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def cut(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and lost executors cost nothing before it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    was = spark.conf.get(_BATCH)
+    was, scan = spark.conf.get(_BATCH), spark.conf.get(_SCAN)
     try:
         spark.conf.set(_BATCH, str(min(batch_rows, int(was) if int(was) > 0 else batch_rows)))
+        spark.conf.set(_SCAN, str(min(BATCH_ROWS, int(scan))))
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, was)
+        spark.conf.set(_SCAN, scan)
     return spark.read.schema(df.schema).parquet(path)
 
 
