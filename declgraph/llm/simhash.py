@@ -21,6 +21,7 @@ SEGMENT = 32  # bits; a fingerprint has two, and one of them differs in RADIUS /
 CROWDED = 64  # fingerprints of one segment's value; beyond, whole balls stand in for the table of that value
 LEAST = 0.8
 PARITY_BITS = 1024
+SHORT_BITS = 512  # of the parities that go with a row into its buckets
 BLOCK_ROWS = 2000  # rows of a bucket that are compared with each other in one task
 SLICES = 1024  # tasks that the pairs of one row are dealt to, at most
 #: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
@@ -130,6 +131,14 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def short_parity(bits: bytes) -> bytes:
+    """The parity of SHORT_BITS: halves laid over each other bound the distance just as well, only less tightly."""
+    u = np.frombuffer(bits, np.uint64)
+    while len(u) > SHORT_BITS // 64:
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return u.tobytes()
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(u) != len(v):
@@ -157,14 +166,15 @@ def _signed(width: int, least: float, often: np.ndarray, counts: np.ndarray):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, fp, same, bits, keys = [], [], [], [], []
+                n, fp, same, bits, short, keys = [], [], [], [], [], []
                 for shingles in shingle_sets(part["text"], width):
                     n.append(len(shingles))
                     fp.append(majority(shingles))
                     same.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     bits.append(parity(shingles))
+                    short.append(short_parity(bits[-1]))
                     keys.append(prefix(shingles, least, often, counts).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int32()), pa.array(np.asarray(fp, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "fp", "same", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], pa.array(n, pa.int32()), pa.array(np.asarray(fp, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "fp", "same", "bits", "short", "keys"])
 
     return run
 
@@ -211,10 +221,11 @@ def _may_be_alike(n, m, pos_n, pos_m, least: float):
 
 def _met(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots that may be alike."""
-        held = None  # the last group so far
+        """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots that may be alike
+        by sizes, places and short parities."""
+        held = None  # the last group so far, and its parities
 
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: np.ndarray, short: np.ndarray) -> Iterator[pa.RecordBatch]:
             bucket, lo, hi, uid, root, n, pos, block = rows
             new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)]
             rank = np.arange(len(uid)) - np.maximum.accumulate(np.where(new, np.arange(len(uid)), 0))
@@ -225,8 +236,10 @@ def _met(least: float):
                 fits = n[to] >= least * n[at] - SLACK
                 at, to = at[fits], to[fits]
                 ok = (root[at] != root[to]) & ((lo[at] == hi[at]) | (block[at] != block[to])) & _may_be_alike(n[at], n[to], pos[at], pos[to], least)
-                if ok.any():
-                    x, y = uid[at[ok]], uid[to[ok]]
+                i, j = at[ok], to[ok]
+                close = np.bitwise_count(short[i] ^ short[j]).sum(1) <= (n[i] + n[j]) * _apart(least) + SLACK
+                if close.any():
+                    x, y = uid[i[close]], uid[j[close]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
                 k += 1
                 at = at[rank[at] >= k]
@@ -235,13 +248,15 @@ def _met(least: float):
             if not batch.num_rows:
                 continue
             rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi", "uid", "root", "n", "pos", "block")])
-            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            short = np.frombuffer(b"".join(batch["short"].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            if held is not None:
+                rows, short = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], short])
             last = (rows[:3] == rows[:3, -1:]).all(0)
             if not last.all():
-                yield from pairs(rows[:, ~last])
-            held = rows[:, last]
+                yield from pairs(rows[:, ~last], short[~last])
+            held = rows[:, last], short[last]
         if held is not None:
-            yield from pairs(held)
+            yield from pairs(*held)
 
     return run
 
@@ -358,7 +373,7 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     stored = docs if isinstance(docs, Stored) else Stored(docs)
     rows = stored.pick("doc_id", "text").select("uid", F.col("doc_id").cast("long"), "text")
     often, counts = _often(rows, width)
-    signed = cut(rows.mapInArrow(lean(_signed(width, least, often, counts)), "uid long, doc_id long, n int, fp long, same binary, bits binary, keys array<long>"), "signed")
+    signed = cut(rows.mapInArrow(lean(_signed(width, least, often, counts)), "uid long, doc_id long, n int, fp long, same binary, bits binary, short binary, keys array<long>"), "signed")
     node = cut(signed.groupBy("same", "n").agg(F.min("uid").alias("node"), F.min("fp").alias("fp"), F.count("*").alias("rows")), "nodes")
     equal = cut(signed.select("uid", "same").join(node.where("rows > 1").select("same", "node"), "same").where("uid <> node").select(F.col("uid").alias("u"), F.col("node").alias("v")), "equal")
     marked = signed.select("uid", "n", "bits")
@@ -386,9 +401,9 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     roots = components(edges)
     rooted = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
     mixed = cut(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
-    placed = rooted.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    placed = rooted.join(mixed, "bucket").join(signed.select("uid", "short"), "uid").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
+    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", "short").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
     met = ordered.mapInArrow(lean(_met(least)), "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
     met = cut(_possible(met, marked, least), "met")
     roots = components(edges.unionByName(edge(_verified(met, stored, width, least))))
