@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from declgraph.llm.common import Stored, cut, hashed_words, lean, rolled, table
@@ -22,6 +22,7 @@ CROWDED = 64  # fingerprints of one segment's value; beyond, whole balls stand i
 LEAST = 0.8
 PARITY_BITS = 1024
 SHORT_BITS = 512  # of the parities that go with a row into its buckets
+STARS = 4  # rows that a row is first compared with; what these do not join, the blocks of its buckets do
 BLOCK_ROWS = 2000  # rows of a bucket that are compared with each other in one task
 SLICES = 1024  # tasks that the pairs of one row are dealt to, at most
 #: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
@@ -364,9 +365,9 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     First the fingerprints of the sets go through multi-index hashing, links(), which finds the closest copies. No radius
     that is worth looking up holds all pairs at `least`, so what fingerprints miss is found by a prefix filter: in one order of all
     shingles, two alike sets share one of their first few, so a document's bucket keys are these, and every linked pair
-    shares a bucket, whatever the number and the size of the documents. Equal sets are one node. Each row is verified
-    against the smallest row it meets that may be alike; then all pairs of a bucket that are in different components by
-    then are, block by block, so that a large group of copies costs no square, and no pair is left out. Pairs are verified
+    shares a bucket, whatever the number and the size of the documents. Equal sets are one node. Of the first rows of
+    its buckets, the STARS it meets most often, each row is verified against the smallest that may be alike; then all
+    pairs of a bucket that are in different components by then are, block by block, so that a large group of copies costs no square, and no pair is left out. Pairs are verified
     on the shingles themselves. The result depends on doc_ids and texts only, where doc_ids differ. Null texts count as
     empty, and texts without words as alike; no rows give none.
     """
@@ -392,7 +393,9 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     # Buckets at the ends of partitions, two each at most: the bound that allows the broadcast.
     at_ends = runs.where("edge = 1").join(F.broadcast(ends), "bucket").select("bucket", "uid", "n", "pos", F.col("least.uid").alias("y"), F.col("least.n").alias("y_n"), F.col("least.pos").alias("y_pos"))
     shared = runs.where("edge = 0").drop("edge").unionByName(at_ends)
-    star = shared.where((F.col("uid") != F.col("y")) & _may_be_alike(F.col("n"), F.col("y_n"), F.col("pos"), F.col("y_pos"), least)).select(F.col("uid").alias("x"), "y").distinct()
+    star = shared.where((F.col("uid") != F.col("y")) & _may_be_alike(F.col("n"), F.col("y_n"), F.col("pos"), F.col("y_pos"), least)).select(F.col("uid").alias("x"), "y")
+    often_met = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))
+    star = star.repartition("x").groupBy("x", "y").agg(F.count("*").alias("c")).withColumn("rank", often_met).where(F.col("rank") <= STARS).select("x", "y")
     star = _possible(star, marked, least).groupBy("x").agg(F.min("y").alias("y"))
     first = cut(_possible(across.unionByName(within), marked, least).unionByName(star).distinct(), "first")
     edge = lambda p: p.select(F.col("x").alias("u"), F.col("y").alias("v"))
