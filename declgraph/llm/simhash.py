@@ -21,7 +21,8 @@ SEGMENT = 32  # bits; a fingerprint has two, and one of them differs in RADIUS /
 CROWDED = 64  # fingerprints of one segment's value; beyond, whole balls stand in for the table of that value
 LEAST = 0.8
 PARITY_BITS = 1024
-SHORT_BITS = 512  # of the parities that go with a row into its buckets
+SHORT_BITS = 512  # of the parities that go with a row into its buckets, at least
+SHORT_MOST = 8192  # and at most, as a long text has many buckets: longer ones only bound more tightly
 STARS = 4  # rows that a row is first compared with; what these do not join, the blocks of its buckets do
 BLOCK_ROWS = 2000  # rows of a bucket that are compared with each other in one task
 SLICES = 1024  # tasks that the pairs of one row are dealt to, at most
@@ -132,12 +133,48 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def fold(u: np.ndarray, bits: int) -> np.ndarray:
+    """Parities (of one length, along the last axis) as ones of `bits`: halves laid over each other bound the distance just
+    as well, only less tightly."""
+    while u.shape[-1] > bits // 64:
+        half = u.shape[-1] // 2
+        u = u[..., :half] ^ u[..., half:]
+    return u
+
+
 def short_parity(bits: bytes) -> bytes:
-    """The parity of SHORT_BITS: halves laid over each other bound the distance just as well, only less tightly."""
-    u = np.frombuffer(bits, np.uint64)
-    while len(u) > SHORT_BITS // 64:
-        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
-    return u.tobytes()
+    """The parity that goes into the buckets: half as many bits as the set's own has, within SHORT_BITS and SHORT_MOST. With
+    a fixed length, sets far larger than it would fill it, and every two of them would seem alike."""
+    return fold(np.frombuffer(bits, np.uint64), min(SHORT_MOST, max(SHORT_BITS, len(bits) * 4))).tobytes()
+
+
+class Parities:
+    """Short parities of some rows, each folded to every length from SHORT_BITS to its own: two rows compare at the shorter's."""
+
+    def __init__(self, short: list[bytes]):
+        self.bits = np.fromiter((len(b) * 8 for b in short), np.int64, len(short))
+        own = {b: np.frombuffer(b"".join(s for s in short if len(s) * 8 == b), np.uint64).reshape(-1, b // 64) for b in np.unique(self.bits).tolist()}
+        self.levels = {}
+        for b in own:
+            at = np.flatnonzero(self.bits >= b)
+            level = np.empty((len(at), b // 64), np.uint64)
+            for longer, rows in own.items():
+                if longer >= b:
+                    level[self.bits[at] == longer] = fold(rows, b)
+            place = np.zeros(len(short), np.int64)
+            place[at] = np.arange(len(at))
+            self.levels[b] = level, place
+
+    def near(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether rows i and j differ in `most` bits at most, pair by pair."""
+        ok, both = np.zeros(len(i), bool), np.minimum(self.bits[i], self.bits[j])
+        for b, (level, place) in self.levels.items():
+            mine = np.flatnonzero(both == b)
+            step = max(1, (1 << 22) // b)  # bounded memory
+            for lo in range(0, len(mine), step):
+                at = mine[lo : lo + step]
+                ok[at] = np.bitwise_count(level[place[i[at]]] ^ level[place[j[at]]]).sum(1) <= most[at]
+        return ok
 
 
 def parity_distance(a: bytes, b: bytes) -> int:
@@ -226,8 +263,9 @@ def _met(least: float):
         by sizes, places and short parities."""
         held = None  # the last group so far, and its parities
 
-        def pairs(rows: np.ndarray, short: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: np.ndarray, short: list[bytes]) -> Iterator[pa.RecordBatch]:
             bucket, lo, hi, uid, root, n, pos, block = rows
+            parities = Parities(short)
             new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)]
             rank = np.arange(len(uid)) - np.maximum.accumulate(np.where(new, np.arange(len(uid)), 0))
             at, k = np.flatnonzero(rank >= 1), 1
@@ -238,7 +276,7 @@ def _met(least: float):
                 at, to = at[fits], to[fits]
                 ok = (root[at] != root[to]) & ((lo[at] == hi[at]) | (block[at] != block[to])) & _may_be_alike(n[at], n[to], pos[at], pos[to], least)
                 i, j = at[ok], to[ok]
-                close = np.bitwise_count(short[i] ^ short[j]).sum(1) <= (n[i] + n[j]) * _apart(least) + SLACK
+                close = parities.near(i, j, (n[i] + n[j]) * _apart(least) + SLACK)
                 if close.any():
                     x, y = uid[i[close]], uid[j[close]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
@@ -249,13 +287,13 @@ def _met(least: float):
             if not batch.num_rows:
                 continue
             rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi", "uid", "root", "n", "pos", "block")])
-            short = np.frombuffer(b"".join(batch["short"].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            short = batch["short"].to_pylist()
             if held is not None:
-                rows, short = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], short])
-            last = (rows[:3] == rows[:3, -1:]).all(0)
-            if not last.all():
-                yield from pairs(rows[:, ~last], short[~last])
-            held = rows[:, last], short[last]
+                rows, short = np.concatenate([held[0], rows], axis=1), held[1] + short
+            starts = int(np.argmax((rows[:3] == rows[:3, -1:]).all(0)))  # of the last group, which may go on
+            if starts:
+                yield from pairs(rows[:, :starts], short[:starts])
+            held = rows[:, starts:], short[starts:]
         if held is not None:
             yield from pairs(*held)
 
@@ -407,7 +445,9 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     placed = rooted.join(mixed, "bucket").join(signed.select("uid", "short"), "uid").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", "short").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
-    met = ordered.mapInArrow(lean(_met(least)), "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
+    # Each pair once, and none that was among the first: one exchange, with the pair's buckets merged before it.
+    met = ordered.mapInArrow(lean(_met(least)), "x long, y long").withColumn("old", F.lit(False)).unionByName(first.withColumn("old", F.lit(True)))
+    met = met.groupBy("x", "y").agg(F.bool_or("old").alias("old")).where("not old").select("x", "y")
     met = cut(_possible(met, marked, least), "met")
     roots = components(edges.unionByName(edge(_verified(met, stored, width, least))))
     rooted = cut(signed.select("uid", "doc_id").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", F.coalesce("root", "uid").alias("root")), "rooted")

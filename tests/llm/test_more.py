@@ -173,14 +173,19 @@ def test_similar_equals_all_pairs_near_the_threshold(spark):
         path = new_path(spark, "chains")
         spark.createDataFrame(reordered, "doc_id long, text string").write.parquet(path)
         got = sorted(x.doc_id for x in simhash.drop_near_copies(spark.read.parquet(path)).collect())
-        order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
-        sets, root = [simhash.shingle_set(t, 5) for _, t in order], list(range(len(order)))
-        for i in range(len(order)):
-            for j in range(i):
-                if simhash.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
-                    low, high = sorted((root[i], root[j]))
-                    root = [low if x == high else x for x in root]
-        assert got == sorted(order[i][0] for i in range(len(order)) if root[i] == i)
+        assert got == plain_kept(rows)
+
+
+def plain_kept(rows):
+    """The ids that stay, by all pairs."""
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
+    sets, root = [simhash.shingle_set(t, 5) for _, t in order], list(range(len(order)))
+    for i in range(len(order)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return sorted(order[i][0] for i in range(len(order)) if root[i] == i)
 
 
 def kept_of(spark, rows, name):
@@ -232,3 +237,32 @@ def test_declared_language_after_a_long_start(spark):
     pages = [(0, "<!-- " + "licence " * 2000 + '--><html class="x" lang="de-AT"><p>a'), (1, "<!doctype html><HTML LANG='fr'>"), (2, '<html><p>&lt;x> <html lang="sv">'), (3, "no tag"), (4, None)]
     frame = spark.createDataFrame([(i, "http://a.b/c", h) for i, h in pages], "page_id long, url string, html string")
     assert {r.id: r.declared for r in langid.page_evidence(frame).collect()} == {0: "de", 1: "fr", 2: "", 3: "", 4: None}
+
+
+def test_parities_of_all_lengths_bound_the_distance():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 40, 700, 1500, 1600, 5000, 40_000):
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64))
+        sets += [base, np.unique(np.concatenate([base[: len(base) - len(base) // 10], rng.integers(0, 1 << 63, 9, dtype=np.int64).view(np.uint64)]))]
+    short = [simhash.short_parity(simhash.parity(s)) for s in sets]
+    assert sorted({len(s) * 8 for s in short}) == [512, 1024, 4096, 8192]
+    held = simhash.Parities(short)
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert held.near(i, j, apart).all()
+    exact = np.array([simhash.parity_distance(short[a], short[b]) for a, b in zip(i, j)])
+    assert held.near(i, j, exact).all() and not held.near(i, j, exact - 1).any()
+
+
+def test_long_texts_that_share_passages_are_apart(spark):
+    """Long texts of several lengths that share a third of their words, and one near copy of each, as all pairs link them."""
+    rng = np.random.default_rng(5)
+    common = [f"c{x}" for x in rng.integers(0, 50_000, 900)]
+    rows = []
+    for k in range(24):
+        own = [f"w{k}x{x}" for x in rng.integers(0, 50_000, 300 + 150 * (k % 12))]
+        copy = own.copy()
+        copy[len(copy) // 2] = "changed"
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + copy))]
+    assert kept_of(spark, rows, "long") == plain_kept(rows)
