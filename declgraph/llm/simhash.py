@@ -28,6 +28,7 @@ BLOCK_ROWS = 2000  # rows of a bucket that are compared with each other in one t
 SLICES = 1024  # tasks that the pairs of one row are dealt to, at most
 #: Shingles that many documents have come last in the order of shingles. Which ones do is read off a sample; any order finds all pairs.
 SAMPLE_ROWS, SAMPLE_LEAST, SAMPLE_TOP = 10_000, 4, 100_000
+BEFORE = 4  # buckets of a row that go with it into its next one, to tell pairs that have met already
 SLACK = 1e-9  # bounds give way by so much for rounding
 
 
@@ -260,11 +261,15 @@ def _may_be_alike(n, m, pos_n, pos_m, least: float):
 def _met(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (bucket, lo, hi, n, uid) -> pairs of rows of blocks lo and hi with different roots that may be alike
-        by sizes, places and short parities."""
+        by sizes, places and short parities.
+
+        Two rows that share one of the BEFORE buckets before this one have met there, with bounds no tighter than here, so they
+        are left to it. The first bucket that two rows share comes first for both, so each pair has one where it is not left."""
         held = None  # the last group so far, and its parities
 
         def pairs(rows: np.ndarray, short: list[bytes]) -> Iterator[pa.RecordBatch]:
-            bucket, lo, hi, uid, root, n, pos, block = rows
+            bucket, lo, hi, uid, root, n, pos, block, *_ = rows
+            before = rows[-BEFORE:].T
             parities = Parities(short)
             new = np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(0)]
             rank = np.arange(len(uid)) - np.maximum.accumulate(np.where(new, np.arange(len(uid)), 0))
@@ -276,6 +281,8 @@ def _met(least: float):
                 at, to = at[fits], to[fits]
                 ok = (root[at] != root[to]) & ((lo[at] == hi[at]) | (block[at] != block[to])) & _may_be_alike(n[at], n[to], pos[at], pos[to], least)
                 i, j = at[ok], to[ok]
+                new_here = ~(before[i][:, :, None] == before[j][:, None, :]).any((1, 2))
+                i, j = i[new_here], j[new_here]
                 close = parities.near(i, j, (n[i] + n[j]) * _apart(least) + SLACK)
                 if close.any():
                     x, y = uid[i[close]], uid[j[close]]
@@ -286,7 +293,7 @@ def _met(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi", "uid", "root", "n", "pos", "block")])
+            rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", *(f"p{k}" for k in range(BEFORE)))])
             short = batch["short"].to_pylist()
             if held is not None:
                 rows, short = np.concatenate([held[0], rows], axis=1), held[1] + short
@@ -442,9 +449,12 @@ def similar(docs: DataFrame | Stored, width: int = 5, least: float = LEAST) -> D
     roots = components(edges)
     rooted = shared.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
     mixed = cut(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b").select("bucket", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
-    placed = rooted.join(mixed, "bucket").join(signed.select("uid", "short"), "uid").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    # Its uid stands for what a row does not have before: no two rows share it.
+    in_order = Window.partitionBy("uid").orderBy("pos")
+    inside = rooted.join(mixed, "bucket").select("*", *(F.coalesce(F.lag("bucket", k + 1).over(in_order), "uid").alias(f"p{k}") for k in range(BEFORE)))
+    placed = inside.join(signed.select("uid", "short"), "uid").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", "short").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
+    ordered = dealt.select("bucket", "lo", "hi", "uid", "root", "n", "pos", "block", *(f"p{k}" for k in range(BEFORE)), "short").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "uid")
     # Each pair once, and none that was among the first: one exchange, with the pair's buckets merged before it.
     met = ordered.mapInArrow(lean(_met(least)), "x long, y long").withColumn("old", F.lit(False)).unionByName(first.withColumn("old", F.lit(True)))
     met = met.groupBy("x", "y").agg(F.bool_or("old").alias("old")).where("not old").select("x", "y")

@@ -255,8 +255,9 @@ def test_parities_of_all_lengths_bound_the_distance():
     assert held.near(i, j, exact).all() and not held.near(i, j, exact - 1).any()
 
 
-def test_long_texts_that_share_passages_are_apart(spark):
-    """Long texts of several lengths that share a third of their words, and one near copy of each, as all pairs link them."""
+def test_long_texts_that_share_passages_are_apart(spark, monkeypatch):
+    """Long texts of several lengths that share 900 words, and one near copy of each, in several blocks a bucket, as all pairs link them."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(5)
     common = [f"c{x}" for x in rng.integers(0, 50_000, 900)]
     rows = []
